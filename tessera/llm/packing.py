@@ -98,6 +98,7 @@ def done(assign: np.ndarray, lengths: np.ndarray, capacity: int) -> bool:
 def evolve(people: list[np.ndarray], lengths: np.ndarray, capacity: int, offspring: int, rng: np.random.Generator) -> list[np.ndarray]:
     """The population after so many children, best first; each replaces the worst individual if it is fitter."""
     people = sorted(people, key=lambda a: -fitness(a, lengths, capacity))
+    fits = [fitness(a, lengths, capacity) for a in people]
     for _ in range(offspring):
         if done(people[0], lengths, capacity):
             break
@@ -108,9 +109,11 @@ def evolve(people: list[np.ndarray], lengths: np.ndarray, capacity: int, offspri
             child = people[0]
         if rng.random() < 0.5:
             child = mutate(child, lengths, capacity, rng)
-        if fitness(child, lengths, capacity) > fitness(people[-1], lengths, capacity):
-            people[-1] = child
-            people.sort(key=lambda a: -fitness(a, lengths, capacity))
+        fit = fitness(child, lengths, capacity)
+        if fit > fits[-1] and fit not in fits:  # equals would crowd out variety
+            people[-1], fits[-1] = child, fit
+            order = sorted(range(len(people)), key=lambda k: -fits[k])
+            people, fits = [people[k] for k in order], [fits[k] for k in order]
     return people
 
 

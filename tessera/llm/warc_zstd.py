@@ -197,10 +197,11 @@ def write(pages: DataFrame, path: str) -> int:
     some = pages.select("page_id", "url", "html").orderBy(order, "page_id").limit(DICTIONARY_ROWS).collect()
     dictionary = train_dictionary([record(*r) for r in some])
     packed = zstandard.ZstdCompressor(level=LEVEL).compress(dictionary)
+    system, folder = _open(path)
+    system.create_dir(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, at = _open(path)
-        system.create_dir(at)
         task = TaskContext.get()
         name, attempt = f"{at}/part-{task.partitionId():06d}.warc.zst", f"{at}/.attempt-{task.taskAttemptId()}"
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
