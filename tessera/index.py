@@ -45,10 +45,12 @@ class Index:
         router = centers.join(parts, "cid").select("cid", "cv", "pid")
         index = cls._start(vectors.sparkSession, path, {"dim": dim, "blocks": blocks, "step": 0})
         index._write(router=router)
-        placed = routing.place(vectors, index.router) if assignments is None else assignments.join(parts, "cid").select("vec_id", "cid", "pid")
-        rows = vectors.select("vec_id", "embedding").join(placed, "vec_id").withColumn("deleted", F.lit(False))
-        index._write(vectors=rows.select("vec_id", "embedding", "cid", "pid", "deleted"))
-        index._write(centers=updates.centers_after_insert(centers, index.vectors, dim) if assignments is None else clustering.centers_from_sums(vectors, placed, centers, dim))
+        if assignments is None:
+            rows = routing.place(vectors, index.router, ("embedding",))
+        else:
+            rows = vectors.select("vec_id", "embedding").join(assignments.join(parts, "cid").select("vec_id", "cid", "pid"), "vec_id")
+        index._write(vectors=rows.select("vec_id", "embedding", "cid", "pid", F.lit(False).alias("deleted")))
+        index._write(centers=updates.centers_after_insert(centers, index.vectors, dim) if assignments is None else clustering.centers_from_sums(index.vectors, centers, dim))
         index._commit()
         return index
 
@@ -120,8 +122,7 @@ class Index:
         """Adds vectors; ids that live are deleted first (an upsert), so means stay right."""
         there = self.vectors.where("not deleted").join(vectors.select("vec_id"), "vec_id", "left_semi")
         centers = updates.centers_after_delete(self.centers, there, self.dim)
-        placed = routing.place(vectors, self.router)
-        new = vectors.select("vec_id", "embedding").join(placed, "vec_id")
+        new = routing.place(vectors, self.router, ("embedding",))
         self._write(vectors=updates.insert_step(self.vectors, vectors, self.router), centers=updates.centers_after_insert(centers, new, self.dim))
         self._commit()
 

@@ -108,9 +108,9 @@ def inertia(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     return nearest.assign(vectors, centers).agg(F.sum("d").alias("inertia"))
 
 
-def centers_from_sums(vectors: DataFrame, assigned: DataFrame, centers: DataFrame, dim: int) -> DataFrame:
-    """(cid, cv, cnt) from scratch: sum / max(count, 1), so a centroid without members goes to the origin (the simulator's rule)."""
-    rows = vectors.join(assigned.select("vec_id", "cid"), "vec_id").withColumn("v", distance.doubles("embedding"))
+def centers_from_sums(assigned: DataFrame, centers: DataFrame, dim: int) -> DataFrame:
+    """(cid, cv, cnt) from rows (cid, embedding) alone: sum / max(count, 1), so a centroid without members goes to the origin (the simulator's rule)."""
+    rows = assigned.select("cid", distance.doubles("embedding").alias("v"))
     sums = rows.groupBy("cid").agg(F.count("*").alias("cnt"), F.array(*[F.sum(F.col("v")[i]) for i in range(dim)]).alias("s"))
     joined = centers.select("cid").join(sums, "cid", "left")
     zero = F.array_repeat(F.lit(0.0), dim)

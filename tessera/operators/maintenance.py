@@ -62,14 +62,15 @@ def decisions(steps: DataFrame, threshold: int, n_centers: int, interval: int =
 
 def rebuild_full(index: DataFrame, router: DataFrame) -> DataFrame:
     """Every live vector goes where the new router puts it; tombstones go; the centroid at insertion stays."""
-    live = index.where(~F.col("deleted"))
-    return live.drop("pid").join(routing.place(live, router).select("vec_id", "pid"), "vec_id").select("vec_id", "embedding", "cid", "pid", "deleted")
+    live = index.where(~F.col("deleted")).select("vec_id", "embedding", F.col("cid").alias("first_cid"), "deleted")
+    placed = routing.place(live, router, ("embedding", "first_cid", "deleted"))
+    return placed.select("vec_id", "embedding", F.col("first_cid").alias("cid"), "pid", "deleted")
 
 
 def delta_movers(index: DataFrame, router: DataFrame) -> DataFrame:
     """(vec_id, from_pid, to_pid) of the live vectors that change shard."""
-    live = index.where(~F.col("deleted"))
-    return live.select("vec_id", F.col("pid").alias("from_pid")).join(routing.place(live, router).select("vec_id", F.col("pid").alias("to_pid")), "vec_id").where("from_pid <> to_pid")
+    live = index.where(~F.col("deleted")).select("vec_id", "embedding", F.col("pid").alias("from_pid"))
+    return routing.place(live, router, ("from_pid",)).select("vec_id", "from_pid", F.col("pid").alias("to_pid")).where("from_pid <> to_pid")
 
 
 def rebuild_delta(index: DataFrame, movers: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import distance, kernels
 
@@ -29,8 +30,8 @@ class Table:
         self.ids, self.vectors = self.ids[order], self.vectors[order]
 
 
-def closest_centers(queries: DataFrame, centers: DataFrame, n: int, id_: str = "qid", vector: str = "qv") -> DataFrame:
-    """(id, rn, cid, d): the n nearest centroids of each query, nearest first; ties go to the lesser cid."""
+def closest_centers(queries: DataFrame, centers: DataFrame, n: int, id_: str = "qid", vector: str = "qv", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, rn, cid, d) and the columns to keep: the n nearest centroids of each query, nearest first; ties go to the lesser cid."""
     table = Table(centers, "cid", "cv", MAX_CENTERS)
     shared = queries.sparkSession.sparkContext.broadcast((table.ids, table.vectors))
     dim = table.dim
@@ -40,14 +41,40 @@ def closest_centers(queries: DataFrame, centers: DataFrame, n: int, id_: str = "
         for b in batches:
             r, c, d = kernels.nearest(kernels.matrix(b.column(1), dim), x, ids, n)
             rn = np.arange(len(r)) - np.searchsorted(r, r) + 1
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(rn.astype(np.int32)), pa.array(ids[c].astype(np.int32)), pa.array(d)], [id_, "rn", "cid", "d"])
+            kept = [b.column(2 + k).take(pa.array(r)) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(rn.astype(np.int32)), pa.array(ids[c].astype(np.int32)), pa.array(d), *kept], [id_, "rn", "cid", "d", *keep])
 
-    return queries.select(F.col(id_).cast("bigint").alias(id_), distance.doubles(vector).alias("v")).mapInArrow(run, f"{id_} bigint, rn int, cid int, d double")
+    rows = queries.select(F.col(id_).cast("bigint").alias(id_), distance.doubles(vector).alias("_v"), *keep)
+    schema = T.StructType().add(id_, T.LongType()).add("rn", T.IntegerType()).add("cid", T.IntegerType()).add("d", T.DoubleType())
+    for name in keep:
+        schema.add(rows.schema[name])
+    return rows.mapInArrow(run, schema)
 
 
-def assign(vectors: DataFrame, centers: DataFrame) -> DataFrame:
-    """(vec_id, cid, d): the nearest centroid of each vector."""
-    return closest_centers(vectors, centers, 1, "vec_id", "embedding").drop("rn")
+def assign(vectors: DataFrame, centers: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(vec_id, cid, d) and the columns to keep: the nearest centroid of each vector."""
+    return closest_centers(vectors, centers, 1, "vec_id", "embedding", keep).drop("rn")
+
+
+def first_by_shard(queries: DataFrame, router: DataFrame) -> DataFrame:
+    """(qid, pid, rn): each shard's nearest centroid, by its place among all centroids of the query; a row for each shard, not centroid."""
+    table = Table(router, "cid", "cv", MAX_CENTERS)
+    shard = {r.cid: r.pid for r in router.select("cid", "pid").collect()}  # as many rows as the table
+    shared = queries.sparkSession.sparkContext.broadcast((table.ids, table.vectors, np.array([shard[c] for c in table.ids.tolist()], np.int32)))
+    dim = table.dim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, pid = shared.value
+        for b in batches:
+            q = kernels.matrix(b.column(1), dim)
+            step = max(1, 2_000_000 // len(ids))
+            for i in range(0, len(q), step):
+                r, c, _ = kernels.nearest(q[i : i + step], x, ids, len(ids))
+                rn = np.arange(len(r)) - np.searchsorted(r, r) + 1
+                first = np.unique(r * (int(pid.max()) + 1) + pid[c], return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r[first] + i)), pa.array(pid[c[first]]), pa.array(rn[first].astype(np.int32))], ["qid", "pid", "rn"])
+
+    return queries.select(F.col("qid").cast("bigint").alias("qid"), distance.doubles("qv").alias("v")).mapInArrow(run, "qid bigint, pid int, rn int")
 
 
 def _slices(queries: DataFrame) -> list[DataFrame]:

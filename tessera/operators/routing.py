@@ -21,7 +21,10 @@ def _ranked(queries: DataFrame, router: DataFrame, n: int) -> DataFrame:
 
 def first_seen(ranked: DataFrame) -> DataFrame:
     """(qid, pid, ord): shards by their nearest centroid, from 1."""
-    once = ranked.groupBy("qid", "pid").agg(F.min("rn").alias("rn"))
+    return _in_order(ranked.groupBy("qid", "pid").agg(F.min("rn").alias("rn")))
+
+
+def _in_order(once: DataFrame) -> DataFrame:
     return once.select("qid", "pid", F.row_number().over(Window.partitionBy("qid").orderBy("rn")).alias("ord"))
 
 
@@ -32,7 +35,7 @@ def branching_factor(queries: DataFrame, router: DataFrame, b: int) -> DataFrame
 
 def nprobe(queries: DataFrame, router: DataFrame, p: int) -> DataFrame:
     """(qid, pid, ord): the first p distinct shards met from near to far."""
-    return first_seen(_ranked(queries, router, router.count())).where(F.col("ord") <= p)
+    return _in_order(nearest.first_by_shard(queries, router)).where(F.col("ord") <= p)
 
 
 def _until(scored: DataFrame, target: float) -> DataFrame:
@@ -87,17 +90,16 @@ DYNAMIC_GRID = {"BranchingFactor": [*range(20, 31, 5), *range(40, 61, 10), 80],
 
 def sweep(queries: DataFrame, router: DataFrame, bs: list[int], ps: list[int]) -> DataFrame:
     """(mode, param, qid, pid) for several parameters at once: one pass over centroids serves them all."""
-    ranked = _ranked(queries, router, router.count())
-    once = ranked.groupBy("qid", "pid").agg(F.min("rn").alias("rn"))
-    once = once.withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy("rn")))
+    once = nearest.first_by_shard(queries, router).withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy("rn")))
     grid = [F.struct(F.lit("BranchingFactor").alias("mode"), F.lit(b).alias("param"), (F.col("rn") <= b).alias("in")) for b in bs]
     grid += [F.struct(F.lit("NProbe").alias("mode"), F.lit(p).alias("param"), (F.col("ord") <= p).alias("in")) for p in ps]
     return once.select("qid", "pid", F.explode(F.array(*grid)).alias("g")).where("g.in").select("g.mode", "g.param", "qid", "pid")
 
 
-def place(vectors: DataFrame, router: DataFrame) -> DataFrame:
-    """(vec_id, cid, pid): the shard of each vector's nearest centroid."""
-    return nearest.assign(vectors, router).join(F.broadcast(router.select("cid", "pid")), "cid").select("vec_id", "cid", "pid")
+def place(vectors: DataFrame, router: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(vec_id, cid, pid) and the columns to keep: the shard of each vector's nearest centroid. One pass, no shuffle."""
+    # the router's size is checked by assign
+    return nearest.assign(vectors, router, keep).join(F.broadcast(router.select("cid", "pid")), "cid").select("vec_id", "cid", "pid", *keep)
 
 
 def placement_of(ids: DataFrame, placed: DataFrame) -> DataFrame:

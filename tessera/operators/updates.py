@@ -34,7 +34,7 @@ def centers_after_delete(centers: DataFrame, rows: DataFrame, dim: int) -> DataF
 
 def insert_step(index: DataFrame, vectors: DataFrame, router: DataFrame) -> DataFrame:
     """The index with new vectors, placed by the router's snapshot; an id that is there is replaced."""
-    new = vectors.select("vec_id", "embedding").join(routing.place(vectors, router), "vec_id").withColumn("deleted", F.lit(False))
+    new = routing.place(vectors, router, ("embedding",)).withColumn("deleted", F.lit(False))
     return index.join(new.select("vec_id"), "vec_id", "left_anti").select("vec_id", "embedding", "cid", "pid", "deleted").unionByName(new)
 
 

@@ -45,7 +45,7 @@ class Fixtures:
         return rows.select(cid.alias("cid"), F.col("embedding").alias("cv"), (cid % BLOCKS).alias("pid"), F.lit(0).cast("bigint").alias("cnt"))
 
     def placed(self) -> DataFrame:
-        return self.vectors.join(routing.place(self.vectors, self.router), "vec_id")
+        return routing.place(self.vectors, self.router, ("label", "embedding"))
 
     def index(self) -> DataFrame:
         return self.placed().select("vec_id", "embedding", "cid", "pid", F.col("vec_id").between(50, 119).alias("deleted"))
@@ -337,7 +337,7 @@ def kmeans_inertia(x: Fixtures) -> DataFrame:
 @query(f"SELECT c.cid, pos, round(coalesce(sum(a.e[pos + 1]), 0) / greatest(count(a.vec_id), 1), 6) AS value, count(a.vec_id) AS cnt FROM c {_UNNEST} LEFT JOIN a ON a.cid = c.cid AND a.vec_id >= 40 GROUP BY c.cid, pos")
 def centers_from_sums(x: Fixtures) -> DataFrame:
     some = x.vectors.where("vec_id >= 40")
-    return exploded(clustering.centers_from_sums(some, nearest.assign(some, x.router), x.router, DIM), "cv", "cid", "cnt")
+    return exploded(clustering.centers_from_sums(nearest.assign(some, x.router, ("embedding",)), x.router, DIM), "cv", "cid", "cnt")
 
 
 @query("SELECT CAST(sum(cnt) AS BIGINT) AS total, count(*) FILTER (cnt = 0) AS zero, count(*) FILTER (cnt > 0) AS nonzero, min(cnt) AS min_count, max(cnt) AS max_count, round(avg(cnt) FILTER (cnt > 0), 6) AS mean_nonzero FROM counted")

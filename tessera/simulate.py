@@ -16,13 +16,13 @@ def centers_by_step(vectors: DataFrame, steps: DataFrame, centers: DataFrame, di
     for r in rows:
         mine = (F.col("vec_id") >= r.start) & (F.col("vec_id") < r.end)
         if r.operation == "insert":
-            new = nearest.assign(vectors.where(mine), current).select("vec_id", "cid")
+            new = nearest.assign(vectors.where(mine), current, ("embedding",)).select("vec_id", "cid", "embedding")
             assigned = new if assigned is None else assigned.unionAll(new)
         else:
             assigned = assigned.where(~mine)
         assigned = assigned.persist()
         # collected: the router's centroids, at most some 10,000 rows; this also cuts the lineage between steps
-        state = clustering.centers_from_sums(vectors, assigned, centers, dim).toPandas().sort_values("cid")
+        state = clustering.centers_from_sums(assigned, centers, dim).toPandas().sort_values("cid")
         current = vectors.sparkSession.createDataFrame(list(zip(state["cid"].tolist(), [list(map(float, v)) for v in state["cv"]], state["cnt"].tolist(), strict=True)), "cid int, cv array<double>, cnt bigint")
         step = current.withColumn("step", F.lit(r.step))
         out = step if out is None else out.unionAll(step)
