@@ -1,6 +1,6 @@
 """Operator 7, best-fit packing: a grouping genetic algorithm on islands.
 
-Documents are packed into training sequences of `capacity` words. A document above that gives full
+Documents are packed into training sequences of `capacity` tokens. A document above that gives full
 sequences of its own and a rest. Items are spread over shards of about SHARD_ITEMS by hash; each shard
 is a packing problem that several islands (one task each) work at. An individual assigns items to
 bins; its fitness is the mean squared filling. Crossover injects whole well-filled bins of one parent
@@ -11,7 +11,9 @@ as it needs no more bins than its total length does.
 
 from __future__ import annotations
 
+import base64
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,31 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _shared
 
-CAPACITY, SHARD_ITEMS = 2048, 2000
+CAPACITY, SHARD_ITEMS = 4096, 2000
+#: A byte-pair vocabulary (base64 token, rank) that every executor can read at this path, and how it cuts texts first.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ISLANDS, POPULATION, OFFSPRING, EPOCHS = 4, 6, 12, 3
 
 
+def token_counts(docs: DataFrame, tokenizer: str | None = TOKENIZER) -> DataFrame:
+    """(doc_id, tokens) for each row; without a tokenizer, tokens are runs of non-blank characters. Null texts have none."""
+    if tokenizer is None:
+        return docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tiktoken
+
+        with open(tokenizer, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        encode = tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        for b in batches:
+            n = [len(encode(t.decode("utf-8", "replace"))) if t else 0 for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], ["doc_id", "tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, tokens int")
+
+
 def best_fit(free: dict[int, int], order: np.ndarray, lengths: np.ndarray, assign: np.ndarray, capacity: int) -> None:
     """Puts the items of `order` one by one into the fullest bin that has room, or a new one. free: room by bin; both are changed."""
     room = sorted((f, b) for b, f in free.items() if f > 0)
@@ -125,24 +148,23 @@ def _row(shard: list, island: list, lengths: list, people: list, fit: list) -> p
     return pa.table([pa.array(shard, pa.int32()), pa.array(island, pa.int32()), pa.array(lengths, pa.binary()), pa.array(people, pa.binary()), pa.array(fit, pa.float64())], _FIELDS)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, islands: int = ISLANDS, population: int = POPULATION, offspring: int = OFFSPRING, epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, copy, part, start, length, bin_id): which words of which document fill which sequence.
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, islands: int = ISLANDS, population: int = POPULATION, offspring: int = OFFSPRING, epochs: int = EPOCHS, tokenizer: str | None = TOKENIZER) -> DataFrame:
+    """(doc_id, copy, part, start, length, bin_id): which tokens of which document fill which sequence.
 
     A row of docs gives one or more parts that follow each other without gap or overlap; no bin holds
-    more than `capacity` words. Words are runs of non-blank characters of the whole text. Rows that
-    repeat doc_id and length are told apart by copy (1, 2, ...). Null and blank texts take no room: one
-    part of length 0 with bin_id null. Null ids are packed like others. An empty table gives an empty
+    more than `capacity` tokens. Tokens are those of the whole text. Rows that repeat doc_id and length are
+    told apart by copy (1, 2, ...). Texts without tokens, as null and empty ones, take no room: one part
+    of length 0 with bin_id null. Null ids are packed like others. An empty table gives an empty
     result; other columns aren't looked at. Runs with the same rows give the same bins.
     """
-    sized = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).alias("words"))
-    counted = _shared.materialize(sized.groupBy("doc_id", "words").agg(F.count("*").alias("n")), "sized")
-    total = counted.agg(F.sum(F.when(F.col("words") % capacity > 0, F.col("n")))).first()[0] or 0
+    counted = _shared.materialize(token_counts(docs, tokenizer).groupBy("doc_id", "tokens").agg(F.count("*").alias("n")), "sized")
+    total = counted.agg(F.sum(F.when(F.col("tokens") % capacity > 0, F.col("n")))).first()[0] or 0
     shards = max(1, -(-total // shard_items))
     each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
-    full = (F.col("words") / capacity).cast("int")
-    whole = each.where(F.col("words") >= capacity).withColumn("part", F.explode(F.sequence(F.lit(0), full - 1))).select("doc_id", "copy", "part", (F.col("part") * capacity).alias("start"), F.lit(capacity).alias("length"), F.concat_ws("-", F.lit("own"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "words", "copy", "part").alias("bin_id"))
-    none = each.where("words = 0").select("doc_id", "copy", F.lit(0).alias("part"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(None).cast("string").alias("bin_id"))
-    rest = each.where(F.col("words") % capacity > 0).select("doc_id", "copy", full.alias("part"), (full * capacity).alias("start"), (F.col("words") % capacity).alias("length"))
+    full = (F.col("tokens") / capacity).cast("int")
+    whole = each.where(F.col("tokens") >= capacity).withColumn("part", F.explode(F.sequence(F.lit(0), full - 1))).select("doc_id", "copy", "part", (F.col("part") * capacity).alias("start"), F.lit(capacity).alias("length"), F.concat_ws("-", F.lit("own"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "tokens", "copy", "part").alias("bin_id"))
+    none = each.where("tokens = 0").select("doc_id", "copy", F.lit(0).alias("part"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(None).cast("string").alias("bin_id"))
+    rest = each.where(F.col("tokens") % capacity > 0).select("doc_id", "copy", full.alias("part"), (full * capacity).alias("start"), (F.col("tokens") % capacity).alias("length"))
     rest = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "start", "length"), F.lit(shards)).cast("int"))
     rest = _shared.materialize(rest.withColumn("item", F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("length"), "doc_id", "copy", "part")) - 1), "items")
 

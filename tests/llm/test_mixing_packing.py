@@ -94,8 +94,8 @@ def test_packing_is_valid_and_tight(spark):
     rng = random.Random(3)
     rows = [(i, words(rng, rng.choice([rng.randrange(1, 120), rng.randrange(1, 40), 450]))) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = packing.pack(docs, capacity=200, shard_items=300)
-    again = packing.pack(docs.repartition(3), capacity=200, shard_items=300)
+    got = packing.pack(docs, capacity=200, shard_items=300, tokenizer=None)
+    again = packing.pack(docs.repartition(3), capacity=200, shard_items=300, tokenizer=None)
     found = got.collect()
     assert sorted(map(repr, found)) == sorted(map(repr, again.collect()))
     count = {i: len(t.split()) for i, t in rows}
@@ -106,6 +106,22 @@ def test_packing_is_valid_and_tight(spark):
     assert len(fill) <= -(-sum(count.values()) // 200) + 6
 
 
+def test_token_counts_are_the_tokenizers(spark, awkward, awkward_rows):
+    import base64
+
+    import tiktoken
+
+    with open(packing.TOKENIZER, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("t", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for d, t, *_ in awkward_rows:
+        tokens = encoding.encode_ordinary(t or "")
+        assert encoding.decode(tokens) == (t or "")
+        want[d] += len(tokens)
+    _check(packing.pack(awkward, capacity=500).collect(), want, 500)
+
+
 def test_crossover_keeps_every_item_once():
     rng = np.random.default_rng(4)
     lengths = np.sort(rng.integers(1, 60, 200))[::-1].astype(np.int64)
@@ -123,7 +139,7 @@ def test_crossover_keeps_every_item_once():
 
 
 def test_packing_awkward(spark, awkward, awkward_rows, no_docs):
-    got = packing.pack(awkward, capacity=100).collect()
+    got = packing.pack(awkward, capacity=100, tokenizer=None).collect()
     count = Counter()
     for d, t, *_ in awkward_rows:
         count[d] += len((t or "").split())
@@ -132,7 +148,7 @@ def test_packing_awkward(spark, awkward, awkward_rows, no_docs):
     assert sorted({r.copy for r in got if r.doc_id == 30}) == [1, 2, 3]
     assert packing.pack(no_docs).count() == 0
     ties = spark.createDataFrame([(i, "a b c d e") for i in range(100)], "doc_id bigint, text string")
-    assert len({r.bin_id for r in packing.pack(ties, capacity=10).collect()}) == 50
+    assert len({r.bin_id for r in packing.pack(ties, capacity=10, tokenizer=None).collect()}) == 50
 
 
 def test_pipeline_stages(spark, sf, documents, labels):
@@ -165,8 +181,8 @@ def test_pipeline_stages(spark, sf, documents, labels):
     assert Counter(r.doc_id for r in after.collect()) == Counter({r[0]: n for r, n in want.items() if n})
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     count = Counter()
-    for r in docs.collect():
-        count[r.doc_id] += len(r.text.split())
+    for r in packing.token_counts(docs).collect():
+        count[r.doc_id] += r.tokens
     _check(packed, count, packing.CAPACITY)
     assert sorted(map(repr, corpus_pipeline.run(spark, sf).collect())) == sorted(map(repr, packed))
 
