@@ -78,15 +78,17 @@ class Index:
             self.meta[name] = to
 
     def _commit(self) -> None:
+        used = sorted({self.meta[t].split("/")[0] for t in ("router", "centers", "vectors")})
+        kept, self.meta = {*used, *self.meta.get("used", [])}, self.meta | {"used": used}
         aside = os.path.join(self.path, "CURRENT.new")
         with open(aside, "w") as f:
             json.dump(self.meta, f)
             f.flush()
             os.fsync(f.fileno())
         os.replace(aside, os.path.join(self.path, "CURRENT"))
-        used = {self.meta[t].split("/")[0] for t in ("router", "centers", "vectors")}
+        # the version before stays for those who still read it
         for d in os.listdir(self.path):
-            if d.startswith("v") and d not in used:
+            if d.startswith("v") and d not in kept:
                 shutil.rmtree(os.path.join(self.path, d), ignore_errors=True)
 
     @classmethod

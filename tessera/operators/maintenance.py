@@ -28,9 +28,9 @@ class Repartition:
 
 def repartition(live: DataFrame, old: DataFrame, blocks: int, seed: int = 0, weighted: bool = False, degree: int = graph.DEGREE) -> Repartition:
     """Graph of the live centroids, its partition, matched with the old one."""
-    named = graph.relabeled(graph.partition(live, blocks, degree, weighted, seed), old, blocks)
-    row = graph.drift(named.select("cid", "pid"), old, blocks).first()
-    return Repartition(named.select("cid", "pid"), row.moved, row.total)
+    named = graph.relabeled(graph.partition(live, blocks, degree, weighted, seed), old, blocks).collect()  # centroids
+    parts = live.sparkSession.createDataFrame([(r.cid, r.pid) for r in named], "cid int, pid int")
+    return Repartition(parts, sum(r.pid != r.old_pid for r in named), len(named))
 
 
 def need_rebuild(moved: int, full: int, partial: int, n_centers: int) -> int:

@@ -244,3 +244,17 @@ def test_updates_edges(spark, x, placed):
     with pytest.raises(ValueError):
         updates.search_scale(x.steps, 1.0, 5)
     assert [s for s, *_ in RUNBOOK] == list(range(1, 10))
+
+
+def test_sweeps(spark, x, placed, truth, tmp_path):
+    from tessera import sweeps
+
+    index = Index.from_tables(x.router, x.counted(), placed.withColumn("deleted", F.lit(False)), str(tmp_path / "i"), DIM, BLOCKS)
+    grid = {"NProbe": [1, BLOCKS], "RecallTarget": [0.9]}
+    rows, loads = sweeps.search_sweep(index, x.queries, truth, K, grid, runs=1)
+    got = {(r.mode, r.param): r for r in rows.collect()}
+    assert got["NProbe", BLOCKS].recall == 1 and got["NProbe", 1].avg_parts == 1 and all(r.qps > 0 for r in got.values())
+    assert metrics.hot_shard_summary(loads, BLOCKS).agg(F.sum("times_hottest")).first()[0] == 3
+    quality = {(r.mode, r.param): r for r in sweeps.partitioning_quality(x.vectors, x.queries, truth, x.router, BLOCKS, K, DIM, grid).collect()}
+    assert all(quality[key].recall == pytest.approx(got[key].recall) for key in got)
+    assert quality["NProbe", 1].bound >= quality["NProbe", 1].recall
