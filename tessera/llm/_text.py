@@ -12,7 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK, CHUNK_DOCS = 1 << 20, 4096
+CHUNK, CHUNK_DOCS = 1 << 18, 4096
+#: Rows of an Arrow batch that are worked at and given back at a time.
+PART_ROWS = 1024
 _MUL, _INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 _b = np.arange(256)
@@ -37,6 +39,13 @@ def column_buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets, null
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of PART_ROWS rows."""
+    for b in batches:
+        for i in range(0, b.num_rows, PART_ROWS):
+            yield b.slice(i, PART_ROWS)
+
+
 def groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about CHUNK bytes and at most CHUNK_DOCS rows."""
     i, n = 0, len(offsets) - 1

@@ -113,7 +113,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, see
     drawn = _shared.materialize(usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id", "lang").distinct(), "drawn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _text.parts(batches):
             data, offsets, _ = _text.column_buffers(b.column(1))
             found = []
             for i, j in _text.groups(offsets):
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, model: Model, min_evidence: float = MIN_EVIDENCE)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         names = pa.array([*model.languages, None], pa.string())
-        for b in batches:
+        for b in _text.parts(batches):
             best, top, ok = _decide(b.column(1), model, min_evidence)
             yield pa.RecordBatch.from_arrays([b.column(0), names.take(pa.array(np.where(ok, best, len(names) - 1))), pa.array(top), pa.array(ok)], ["doc_id", "language", "score", "keep"])
 
@@ -169,7 +169,7 @@ def keep_known(docs: DataFrame, model: Model, min_evidence: float = MIN_EVIDENCE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
-        for b in batches:
+        for b in _text.parts(batches):
             yield b.filter(pa.array(_decide(b.column(at), model, min_evidence)[2]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import _shared
+from tessera.llm import _shared, _text
 
 CAPACITY, SHARD_ITEMS = 4096, 2000
 #: A byte-pair vocabulary (base64 token, rank) that every executor can read at this path, and how it cuts texts first.
@@ -40,7 +40,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = TOKENIZER) -> DataFram
         with open(tokenizer, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         encode = tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        for b in batches:
+        for b in _text.parts(batches):
             n = [len(encode(t.decode("utf-8", "replace"))) if t else 0 for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], ["doc_id", "tokens"])
 

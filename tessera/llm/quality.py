@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, quantile: fl
     sample = _sample.labelled_sample(docs, labels, "quality", rows, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _text.parts(batches):
             data, offsets, _ = _text.column_buffers(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(features(data, offsets)), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
@@ -117,7 +117,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _text.parts(batches):
             s, ok = _scored(b.column(1), model)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, mask=~ok), pa.array(ok & (s >= model.threshold))], ["doc_id", "score", "keep"])
 
@@ -140,7 +140,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _text.parts(batches):
             s, ok = _scored(b.column(at), model)
             yield b.filter(pa.array(ok & (s >= model.threshold)))
 

@@ -25,7 +25,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint bigint); blank and null texts and rows without doc_id have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _text.parts(batches):
             data, offsets, null = _text.column_buffers(b.column(1))
             fp, has = _text.simhash(data, offsets, 64)
             has &= ~null

@@ -20,9 +20,9 @@ from tessera.llm import _shared, _text
 
 BITS = 256
 #: Documents within this Hamming distance are near copies (unrelated ones lie around 115).
-RADIUS = 56
+RADIUS = 60
 #: Pairs at this distance are found with probability RECALL, closer ones more often.
-DESIGN_DISTANCE, RECALL = 44, 0.95
+DESIGN_DISTANCE, RECALL = 50, 0.95
 #: Rows that a bucket of unrelated documents holds on average, and the most before it is split.
 BUCKET, CAP = 512, 2048
 
@@ -38,7 +38,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of the documents that have an id and a text that isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _text.parts(batches):
             data, offsets, null = _text.column_buffers(b.column(1))
             fp, has = _text.simhash(data, offsets, BITS)
             has &= ~null
@@ -54,13 +54,11 @@ def _keys(reps: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
     place = (1 << np.arange(63, dtype=np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 4096):
-                part = b.slice(i, 4096)
-                flags = np.unpackbits(_text.rows_of_binary(part.column(1), BITS // 8), axis=1)
-                for t, pick in enumerate(picks):
-                    key, ext = flags[:, pick[:bits]] @ place[:bits], flags[:, pick[bits:]] @ place[:16]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), pa.array(ext.astype(np.int32)), part.column(0), part.column(1)], ["t", "key", "ext", "doc_id", "fp"])
+        for part in _text.parts(batches):
+            flags = np.unpackbits(_text.rows_of_binary(part.column(1), BITS // 8), axis=1)
+            for t, pick in enumerate(picks):
+                key, ext = flags[:, pick[:bits]] @ place[:bits], flags[:, pick[bits:]] @ place[:16]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), pa.array(ext.astype(np.int32)), part.column(0), part.column(1)], ["t", "key", "ext", "doc_id", "fp"])
 
     return reps.select("doc_id", "fp").mapInArrow(run, "t int, key bigint, ext int, doc_id bigint, fp binary")
 

@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
     sample = _sample.labelled_sample(docs, labels, label, rows, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _text.parts(batches):
             data, offsets, _ = _text.column_buffers(b.column(1))
             found = []
             for i, j in _text.groups(offsets):
@@ -149,7 +149,7 @@ def grades(docs: DataFrame, model: Model) -> DataFrame:
         at, w, thresholds = shared.value
         m = Model(np.zeros(1 << HASH_BITS), thresholds)
         m.weights[at] = w
-        for b in batches:
+        for b in _text.parts(batches):
             data, offsets, null = _text.column_buffers(b.column(1))
             s = np.zeros(len(null))
             for i, j in _text.groups(offsets):
