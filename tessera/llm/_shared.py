@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,8 +34,9 @@ def _clean() -> None:
     for spark, path in _written:
         try:
             delete_path(spark, path)
-        except Exception:  # the session has ended; the cluster's own clean-up of the folder remains
-            return
+        except Exception:  # the session has ended; a mounted folder can still be emptied
+            if path.startswith("file:"):
+                shutil.rmtree("/" + path[5:].lstrip("/"), ignore_errors=True)
 
 
 atexit.register(_clean)

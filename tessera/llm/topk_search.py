@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tessera.llm import _shared, _text
 
 K, BLOCK, MERGE = 10, 4096, 8
+#: Partitions of either side of the product at most; it has as many tasks as their square.
+SIDE = 64
 #: Queries that a matrix product takes at a time; decimals that scores are rounded to.
 SLICE, DECIMALS = 256, 9
 
@@ -74,6 +76,8 @@ def search(vectors: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
 
     laid = rows.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("b").applyInArrow(lay, "b int, ids binary, vs binary")
     laid = _shared.materialize(laid, "blocks")
+    # a side's blocks are spread over partitions once; tiles themselves are never shuffled
+    laid = laid.repartitionByRange(min(blocks, SIDE), "b")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +89,7 @@ def search(vectors: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
 
     other = laid.select(F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("vs").alias("vs2"))
     schema = "b int, x int, ids binary, got binary, scores binary"
-    lists = laid.crossJoin(other).repartition(max(1, min(blocks * blocks, 4096)), "b", "b2").mapInArrow(tile, schema)
+    lists = laid.crossJoin(other).mapInArrow(tile, schema)
 
     def join(part: pa.Table) -> pa.Table:
         got, scores = (np.concatenate([np.frombuffer(c, kind).reshape(-1, k) for c in part.column(name).to_pylist()], axis=1) for name, kind in (("got", np.int64), ("scores", np.float64)))
