@@ -193,8 +193,9 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
 
 def write(pages: DataFrame, path: str) -> int:
     """Writes the rows of pages as archives under path, one for each partition; gives their number. Null values survive a round trip."""
-    order = F.xxhash64("page_id")
-    some = pages.select("page_id", "url", "html").orderBy(order, "page_id").limit(DICTIONARY_ROWS).collect()
+    # ids are chosen first: ordering whole pages would send the first of every task to the driver
+    ids = pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(DICTIONARY_ROWS)
+    some = pages.select("page_id", "url", "html").join(F.broadcast(ids), "page_id", "left_semi").limit(DICTIONARY_ROWS).collect()
     dictionary = train_dictionary([record(*r) for r in some])
     packed = zstandard.ZstdCompressor(level=LEVEL).compress(dictionary)
     system, folder = _open(path)
