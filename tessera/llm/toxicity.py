@@ -51,7 +51,7 @@ class Model:
 
     def above(self, s: np.ndarray) -> np.ndarray:
         """The chance that the grade is above 0, 1, ..., a column each."""
-        return _sigmoid(s[:, None] - self.thresholds)
+        return np.where(np.isinf(self.thresholds), 0.0, _sigmoid(s[:, None] - self.thresholds))
 
 
 def fit_ordinal(row: np.ndarray, col: np.ndarray, y: np.ndarray, columns: int, grades: int, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
