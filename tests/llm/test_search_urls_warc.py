@@ -1,13 +1,14 @@
 """Top-k search (2), URL filters (1), WARC (4)."""
 
 import io
+import re
 import struct
 
 import numpy as np
 import pytest
 import zstandard
 
-from tessera.llm import topk_search, url_filters, warc_zstd
+from tessera.llm import queries, topk_search, url_filters, warc_zstd
 
 VECTORS = "vec_id bigint, embedding array<float>, score int, b int"
 
@@ -77,6 +78,15 @@ def test_decisions_spread_and_allow_wins(spark):
     assert {r.decision for r in url_filters.decide(pages, _rules(spark).limit(0)).collect()} == {"none"}
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_the_querys_rules_reach_every_blocked_host(spark, size):
+    got = queries.op1_url_filters(spark, f"/root/testdata/{size}").collect()
+    bad = re.compile(r"https?://([^/]*[.])?(casino-win|free-bets|ads-track|spam-farm|cheap-pills|adult-x)[.]")
+    seen = [(r.decision, "allow" if re.search(r"cheap-pills[.][^/]*/de/", r.url) else "block") for r in got if bad.match(r.url or "")]
+    assert seen and all(a == b for a, b in seen)
+    assert all(r.decision == "none" for r in got if not bad.match(r.url or ""))
+
+
 def test_warc_round_trip(spark, sf, tmp_path):
     odd = [(1, None, None), (None, "http://a/b c%20d\r\nX: y", "x"), (2, "", ""), (3, "http://é.fr/?q=ü#z", "é\r\n\r\nWARC/1.1\r\n"), (4, " lead", "y" * 3_000_000), (4, " lead", "twice"), (4, " lead", "twice")]
     pages = spark.createDataFrame(odd, "page_id bigint, url string, html string").union(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html"))
