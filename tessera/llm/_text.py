@@ -113,9 +113,18 @@ class Words:
         same = self.doc[:-1] == self.doc[1:]
         two = mix(self.hash[:-1] * np.uint64(0xD6E8FEB86659FD93) + self.hash[1:])[same]
         lone = self.count[self.doc] == 1
-        bare = np.flatnonzero((self.count == 0) & (np.diff(self.offsets) > 0) & ~self.blank())
+        bare = self._bare()
         return np.concatenate((self.doc[:-1][same], self.doc[lone], bare)), np.concatenate((two, self.hash[lone], self.whole()[bare]))
 
+    def singles(self) -> tuple[np.ndarray, np.ndarray]:
+        """(doc, hash) of the terms: the words; or, without words, the text itself."""
+        bare = self._bare()
+        return np.concatenate((self.doc, bare)), np.concatenate((self.hash, self.whole()[bare]))
+
+    def _bare(self) -> np.ndarray:
+        """The documents that have a text without words that isn't blank."""
+        return np.flatnonzero((self.count == 0) & (np.diff(self.offsets) > 0) & ~self.blank())
+
     def blank(self) -> np.ndarray:
         """Which documents hold nothing but white space."""
         seen = np.zeros(len(self.raw) + 1, np.int64)
@@ -135,10 +144,10 @@ def unique_counts(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarra
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1)
 
 
-def simhash(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def simhash(data: np.ndarray, offsets: np.ndarray, bits: int, singles: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """SimHash fingerprints (rows of bits/8 bytes) of all documents, and which have one.
 
-    Terms are pairs of neighbouring words, weighted round(16 (1 + ln count)); each term's hash
+    Terms are pairs of neighbouring words (singles: the words), weighted round(16 (1 + ln count)); each term's hash
     votes its weight for or against each bit, and a bit is set if its votes are above 0. Blank texts have none.
     """
     n, size = len(offsets) - 1, bits // 8
@@ -146,7 +155,8 @@ def simhash(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
     for i, j in groups(offsets):
         if offsets[j] == offsets[i]:
             continue
-        doc, h, count = unique_counts(*Words(data, offsets[i : j + 1]).pairs())
+        words = Words(data, offsets[i : j + 1])
+        doc, h, count = unique_counts(*(words.singles() if singles else words.pairs()))
         weight = np.rint(16 * (1 + np.log(count)))
         at = doc * 256
         for k in range(0, size, 8):

@@ -33,7 +33,7 @@ def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_fingerprints.search(_table(spark, sf_dir, "documents"))
+    return simhash_fingerprints.search(_table(spark, sf_dir, "documents"), simhash_fingerprints.COPY_RADIUS)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

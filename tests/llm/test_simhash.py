@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import _shared, _text, simhash_fingerprints, simhash_neardup
+from tessera.llm import _shared, _text, queries, simhash_fingerprints, simhash_neardup
 from tests.llm.conftest import words
 
 
@@ -86,6 +86,21 @@ def _edited(rng, text, share):
     return " ".join(f"e{rng.randrange(10**6)}" if rng.random() < share else w for w in text.split())
 
 
+def test_the_query_lists_edited_copies(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [words(rng, rng.randrange(60, 400)) for _ in range(200)]
+    texts += [_edited(rng, t, 0.02) for t in texts] + [words(rng, 150) for _ in range(300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    of, near = {}, set()
+    got = queries.op5_simhash_fingerprints(spark, str(tmp_path)).collect()
+    for r in got:
+        of |= {d: r.doc_ids[0] for d in r.doc_ids}
+        near |= {(r.doc_ids[0], x.doc_id) for x in r.near}
+    found = [of[i] == of[i + 200] or (of[i], of[i + 200]) in near for i in range(200)]
+    assert np.mean(found) >= 0.9
+    assert all(b - a == 200 for a, b in near if a < b)  # no unrelated text
+
+
 def test_recall_against_brute_force(spark):
     rng = random.Random(4)
     texts = []
