@@ -3,7 +3,8 @@
 Each table samples `planned()[0]` of the fingerprint's 256 coordinates; documents that agree on them
 share a bucket. Buckets above `cap` rows are split by further sampled coordinates; what is still above
 it (dense clusters) is compared in full, in square tiles that spread over tasks. In every bucket all
-pairs are verified. The number of tables follows the corpus size, so recall stays level as it grows.
+pairs are verified. The number of tables follows the corpus size, so recall at the radius stays level
+as it grows; the further bits of split buckets are not counted in it.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ BITS = 256
 #: Documents within this Hamming distance are near copies (unrelated ones lie around 115).
 RADIUS = 60
 #: Pairs at this distance are found with probability RECALL, closer ones more often.
-DESIGN_DISTANCE, RECALL = 50, 0.95
+DESIGN_DISTANCE, RECALL = RADIUS, 0.95
 #: Rows that a bucket of unrelated documents holds on average, and the most before it is split.
 BUCKET, CAP = 512, 2048
 
 
-def planned(n: int, bucket: int = BUCKET) -> tuple[int, int]:
-    """(sampled bits, tables) for n distinct fingerprints."""
+def planned(n: int, bucket: int = BUCKET, distance: int = DESIGN_DISTANCE) -> tuple[int, int]:
+    """(sampled bits, tables) for n distinct fingerprints; bits are sampled without replacement."""
     bits = max(1, math.ceil(math.log2(max(2.0, n / bucket))))
-    hit = (1 - DESIGN_DISTANCE / BITS) ** bits
+    hit = math.comb(BITS - distance, bits) / math.comb(BITS, bits)
     return bits, max(4, math.ceil(math.log(1 - RECALL) / math.log(1 - hit))) if hit < 1 else 1
 
 
@@ -109,7 +110,7 @@ def _bucket_edges(radius: int):
 
 def candidate_edges(reps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, cap: int = CAP, seed: int = 7) -> DataFrame:
     """Edges (a, b) that span, bucket by bucket, what the pairs within the radius connect."""
-    bits, tables = planned(reps.count(), bucket)
+    bits, tables = planned(reps.count(), bucket, radius)
     keyed = _keys(reps, bits, tables, seed)
     where = ["t", "key", "sub", "i", "j"]
     none = [F.lit(0).alias("sub"), F.lit(0).alias("i"), F.lit(0).alias("j")]

@@ -144,6 +144,15 @@ def test_planned_tables_keep_the_recall():
         assert 1 - (1 - p) ** tables >= simhash_neardup.RECALL - 1e-9 and n / 2**bits <= max(simhash_neardup.BUCKET, n / 2)
 
 
+@pytest.mark.parametrize("n", [10**4, 10**5, 10**6, 10**7])
+def test_planned_tables_find_pairs_at_the_radius(n):
+    bits, tables = simhash_neardup.planned(n)
+    p = 1.0  # bits are sampled without replacement
+    for k in range(bits):
+        p *= (simhash_neardup.BITS - simhash_neardup.RADIUS - k) / (simhash_neardup.BITS - k)
+    assert 1 - (1 - p) ** tables >= 0.95 - 1e-9
+
+
 def test_awkward_rows(spark, awkward, awkward_rows, no_docs):
     got = {r.doc_id: r for r in simhash_neardup.near_duplicates(awkward).collect()}
     assert sorted(got) == sorted({r[0] for r in awkward_rows if r[0] is not None})
