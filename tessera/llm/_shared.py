@@ -10,16 +10,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of at most this many narrow rows (two or three numbers each) may be broadcast.
-BROADCAST_ROWS = 2_000_000
+#: A table of at most so many rows and bytes may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; where unset (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir, which all executors share; where unset, a temporary one, in local mode only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -53,13 +56,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what `materialize` wrote for tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            delete_path(df.sparkSession, path)
+            _written[:] = [w for w in _written if w[1] != path]
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows, else as it is (Spark then shuffles)."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    """df with a broadcast hint if it has at most BROADCAST_ROWS rows and BROADCAST_BYTES bytes, else as it is (Spark then shuffles).
+
+    rows: their number where it is known and no column is a string, which saves counting.
+    """
+    if rows is None:
+        width = [F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes]
+        rows, size = df.agg(F.count("*"), F.sum(sum(width[1:], width[0]).cast("bigint"))).first()
+    else:
+        size = 8 * rows * len(df.columns)
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -81,9 +101,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
         # large-star leaves only edges from the larger node a to the smaller b
         large = materialize(large, "large")
+        release(edges)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(least, "a")
         edges = materialize(tied.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        release(large)
         if (now := _signature(edges)) == seen:
             break
         seen = now

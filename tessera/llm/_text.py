@@ -1,8 +1,8 @@
 """Text features over whole Arrow batches: words, n-grams and fingerprints by array operations on UTF-8 bytes.
 
 A word is a run of ASCII letters, digits and bytes of non-ASCII characters. Hashes see lower case
-(ASCII and Latin-1 letters). Texts are cut into groups of whole documents of about CHUNK bytes, so
-memory stays small; a document is never cut.
+(ASCII and Latin-1 letters). Texts are cut into groups of whole documents of about CHUNK bytes, and a
+long one is gone through in windows, so memory stays small; a document is never cut.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK, CHUNK_DOCS = 1 << 18, 4096
+#: Bytes that are worked at at once, also of a longer text.
+WINDOW = 1 << 20
+#: A word with so many characters of three or more bytes is a run of text without spaces.
+UNSPACED = 6
 #: Rows of an Arrow batch that are worked at and given back at a time.
 PART_ROWS = 1024
 _MUL, _INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -63,73 +67,143 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers: dict[str, np.ndarray] = {}
+_powers: list[np.ndarray] = []
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power(n: int) -> list[np.ndarray]:
     """Powers of the multiplier and of its inverse, modulo 2^64."""
-    if len(_powers.get("p", ())) < n:
-        m = max(n, CHUNK + 1)
-        _powers["p"], _powers["i"] = (np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(m - 1, x, np.uint64)))) for x in (_MUL, _INV))
-    return _powers["p"], _powers["i"]
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(max(n, WINDOW + 1) - 1, x, np.uint64)))) for x in (_MUL, _INV)]
+    return _powers
+
+
+def windows(n: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most WINDOW bytes that cover n bytes."""
+    for a in range(0, n, WINDOW):
+        yield a, min(a + WINDOW, n)
+
+
+def lowered(raw: np.ndarray, a: int = 0, b: int | None = None) -> np.ndarray:
+    """Bytes a to b in lower case (ASCII, and Latin-1 letters in UTF-8)."""
+    part = raw[a:b]
+    low = _LOWER[part]
+    lead = part[:-1] == 0xC3
+    after = np.flatnonzero(lead) + 1
+    if a and len(part) and raw[a - 1] == 0xC3:
+        after = np.concatenate(([0], after))
+    after = after[(part[after] >= 0x80) & (part[after] <= 0x9E) & (part[after] != 0x97)]
+    low[after] += 32
+    return low
 
 
 class Words:
-    """The words of some documents: doc (0-based), start and length in bytes, hash; raw: the bytes of all."""
+    """The words of some documents: doc (0-based), start and length in bytes, hash; raw: the bytes of all.
+
+    Texts are gone through in windows, so besides the words themselves memory doesn't grow with a long text.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.n, self.offsets = len(offsets) - 1, offsets - offsets[0]
         self.raw = raw = data[offsets[0] : offsets[-1]]
-        low = _LOWER[raw]
-        after = np.flatnonzero(raw[:-1] == 0xC3) + 1
-        after = after[(raw[after] >= 0x80) & (raw[after] <= 0x9E) & (raw[after] != 0x97)]
-        low[after] += 32
-        self.low = low
-        word = _WORD[raw]
-        cut = np.zeros(len(raw) + 1, bool)
-        cut[self.offsets] = True
-        first, last = word.copy(), word.copy()
-        first[1:] &= ~word[:-1] | cut[1:-1]
-        last[:-1] &= ~word[1:] | cut[1:-1]
-        self.start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.length = end - self.start
-        p, inv = _power(len(raw) + 1)
-        self._sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * p[: len(raw)], out=self._sums[1:])
-        self._inv = inv
-        self.hash = self._range(self.start, end)
+        starts, ends, hashes = [], [], []
+        # of a word that began in an earlier window: where, the running sum there and the inverse power there
+        open_at, open_sum, open_inv = -1, np.uint64(0), np.uint64(0)
+        before, total, scale, scale_inv = False, np.uint64(0), 1, 1
+        at_docs = np.zeros((2, self.n + 1), np.uint64)  # running sum and inverse power at each document's start
+        for a, b in windows(len(raw)):
+            p, inv = _power(b - a + 1)
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum((lowered(raw, a, b).astype(np.uint64) + np.uint64(1)) * p[: b - a], out=sums[1:])
+            sums = total + sums * np.uint64(scale)
+            word = _WORD[raw[a:b]]
+            i, j = np.searchsorted(self.offsets, (a, b))
+            cut = self.offsets[i:j] - a
+            first, last = word.copy(), np.zeros(b - a + 1, bool)  # last: a word ends before this byte
+            first[1:] &= ~word[:-1]
+            first[0] &= not before
+            last[1:-1] = word[:-1] & ~word[1:]
+            last[0] = before and not word[0]
+            first[cut] = word[cut]
+            last[cut] = np.concatenate(([before], word[:-1]))[cut]
+            last[-1] = word[-1] and b == len(raw)
+            s, e = np.flatnonzero(first), np.flatnonzero(last)
+            ss, si = sums[s], inv[s] * np.uint64(scale_inv)
+            if open_at >= 0:
+                s, ss, si = np.concatenate(([open_at - a], s)), np.concatenate(([open_sum], ss)), np.concatenate(([open_inv], si))
+            k = len(e)
+            hashes.append(mix((sums[e] - ss[:k]) * si[:k] + (e - s[:k]).astype(np.uint64)))
+            starts.append(s[:k] + a)
+            ends.append(e + a)
+            open_at, open_sum, open_inv = (s[k] + a, ss[k], si[k]) if len(s) > k else (-1, np.uint64(0), np.uint64(0))
+            at_docs[:, i:j] = sums[cut], inv[cut] * np.uint64(scale_inv)
+            before, total = bool(word[-1]), sums[-1]
+            scale, scale_inv = scale * int(p[b - a]) % (1 << 64), scale_inv * int(inv[b - a]) % (1 << 64)
+        at_docs[:, np.searchsorted(self.offsets, len(raw)) :] = [[total], [np.uint64(scale_inv)]]
+        self._at_docs = at_docs
+        self.start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        self.length = (np.concatenate(ends) if ends else self.start) - self.start
+        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
         self.count = np.bincount(self.doc, minlength=self.n)
 
-    def _range(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self._sums[b] - self._sums[a]) * self._inv[a] + (b - a).astype(np.uint64))
-
     def whole(self) -> np.ndarray:
         """A hash of each document's text in lower case."""
-        return self._range(self.offsets[:-1], self.offsets[1:])
+        sums, inv = self._at_docs
+        return mix((sums[1:] - sums[:-1]) * inv[:-1] + np.diff(self.offsets).astype(np.uint64))
+
+    def _unspaced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which words are runs of at least UNSPACED characters of three or more bytes, doc and hash of the runs of three characters in these).
+
+        Chinese, Japanese, Thai and others write sentences without spaces; a whole run is no term.
+        """
+        none = np.zeros(len(self.start), bool), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        if not len(self.raw) or not (long := np.flatnonzero(self.length >= 3 * UNSPACED)).size or self.raw.max() < 0xE0:
+            return none
+        some, docs, hashes = none[0], [], []
+        for k in long.tolist():
+            part = self.raw[self.start[k] : self.start[k] + self.length[k]]
+            if np.count_nonzero(part >= 0xE0) < UNSPACED:
+                continue
+            some[k] = True
+            for a in range(0, len(part), WINDOW):
+                # windows overlap by three characters; each gram is counted where its first byte lies
+                piece = part[a : a + WINDOW + 12]
+                at = np.flatnonzero((piece & 0xC0) != 0x80)
+                wide = np.concatenate((piece, np.zeros(4, np.uint8))).astype(np.uint64)
+                size = np.diff(np.append(at, len(piece)))
+                code = np.zeros(len(at), np.uint64)
+                for i in range(4):
+                    code = code * np.uint64(256) + np.where(size > i, wide[at + i], np.uint64(0))
+                own = at[:-2] < WINDOW
+                hashes.append(mix((code[:-2] * np.uint64(0xD6E8FEB86659FD93) + code[1:-1]) * np.uint64(0xD6E8FEB86659FD93) + code[2:])[own])
+                docs.append(np.full(len(hashes[-1]), self.doc[k]))
+        return (some, np.concatenate(docs), np.concatenate(hashes)) if docs else none
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(doc, hash) of the terms: pairs of neighbouring words; a lone word; or, without words, the text itself."""
-        same = self.doc[:-1] == self.doc[1:]
+        """(doc, hash) of the terms: pairs of neighbouring words; a lone word; without words, the text itself; in unspaced runs, three characters."""
+        run, doc3, hash3 = self._unspaced()
+        same = (self.doc[:-1] == self.doc[1:]) & ~run[:-1] & ~run[1:]
         two = mix(self.hash[:-1] * np.uint64(0xD6E8FEB86659FD93) + self.hash[1:])[same]
-        lone = self.count[self.doc] == 1
+        lone = (self.count[self.doc] == 1) & ~run
         bare = self._bare()
-        return np.concatenate((self.doc[:-1][same], self.doc[lone], bare)), np.concatenate((two, self.hash[lone], self.whole()[bare]))
+        return np.concatenate((self.doc[:-1][same], self.doc[lone], bare, doc3)), np.concatenate((two, self.hash[lone], self.whole()[bare], hash3))
 
     def singles(self) -> tuple[np.ndarray, np.ndarray]:
-        """(doc, hash) of the terms: the words; or, without words, the text itself."""
+        """(doc, hash) of the terms: the words; without words, the text itself; in unspaced runs, three characters."""
+        run, doc3, hash3 = self._unspaced()
         bare = self._bare()
-        return np.concatenate((self.doc, bare)), np.concatenate((self.hash, self.whole()[bare]))
+        return np.concatenate((self.doc[~run], bare, doc3)), np.concatenate((self.hash[~run], self.whole()[bare], hash3))
 
     def _bare(self) -> np.ndarray:
         """The documents that have a text without words that isn't blank."""
-        return np.flatnonzero((self.count == 0) & (np.diff(self.offsets) > 0) & ~self.blank())
+        return np.flatnonzero((self.count == 0) & ~self.blank())
 
     def blank(self) -> np.ndarray:
         """Which documents hold nothing but white space."""
-        seen = np.zeros(len(self.raw) + 1, np.int64)
-        np.cumsum(self.raw > 32, out=seen[1:])
-        return seen[self.offsets[1:]] == seen[self.offsets[:-1]]
+        out = self.count == 0
+        for k in np.flatnonzero(out).tolist():
+            out[k] = not (self.raw[self.offsets[k] : self.offsets[k + 1]] > 32).any()
+        return out
 
 
 def unique_counts(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

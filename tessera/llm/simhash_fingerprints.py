@@ -1,9 +1,10 @@
 """Operator 5, document fingerprints: 64-bit SimHash and an exact search within a small Hamming radius.
 
-The 64 bits are cut into radius + 2 blocks. Fingerprints within the radius differ in at most radius
-blocks, so they agree on at least two: one table for each two blocks, keyed by them (25 bits or so),
-finds every pair. A pair that several tables hold is taken from the first one only, told from its
-exclusive or, so no step removes repetitions.
+The 64 bits are cut into radius + m blocks. Fingerprints within the radius differ in at most radius
+blocks, so they agree on at least m: one table for each m blocks, keyed by them, finds every pair.
+More blocks give more tables with longer keys; m is the one that costs least at the corpus's size, so the
+rows that share a key stay few as it grows. A pair that several tables hold is taken from the first one
+only, told from its exclusive or, so no step removes repetitions.
 
 Terms are single words: an edit moves one of them, where it would move two pairs of words. Texts of the
 same words in another order have the same fingerprint.
@@ -13,9 +14,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _shared, _text
@@ -24,6 +26,8 @@ from tessera.llm import _shared, _text
 RADIUS = 3
 #: The radius at which near copies are listed: it holds 89 % of the edited ones of the given documents, 3 only 35 %.
 COPY_RADIUS = 8
+#: Rows that may share a key for comparing them to cost what making and sorting one row does; tables at most.
+COMPARE, MAX_TABLES = 50, 5000
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -39,48 +43,61 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id bigint, fingerprint bigint")
 
 
-def _masks(radius: int) -> list[int]:
-    """For each table the bits that its key has."""
-    blocks, cuts = radius + 2, [round(64 * k / (radius + 2)) for k in range(radius + 3)]
-    mask = [(1 << cuts[k + 1]) - (1 << cuts[k]) for k in range(blocks)]
-    return [mask[i] | mask[j] for i, j in combinations(range(blocks), 2)]
+def planned(n: int, radius: int) -> int:
+    """How many blocks a key has, for n distinct fingerprints: the least of tables x (1 + rows of a key / COMPARE), and no more tables than MAX_TABLES."""
+    cost = lambda m: comb(radius + m, m) * (1 + n / 2 ** (64 * m / (radius + m)) / COMPARE)
+    return min((m for m in range(1, 65 - radius) if m == 1 or comb(radius + m, m) <= MAX_TABLES), key=cost)
 
 
-def _signed(x: int) -> Column:
-    return F.lit(x - (1 << 64) if x >> 63 else x).cast("bigint")
+def _blocks(radius: int, agree: int) -> list[int]:
+    """The bits of each block."""
+    cuts = [round(64 * k / (radius + agree)) for k in range(radius + agree + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b, distance) of all pairs a < b of distinct values of prints.fingerprint within the radius; radius 1 to 30."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def near_pairs(prints: DataFrame, radius: int = RADIUS, agree: int | None = None) -> DataFrame:
+    """(a, b, distance) of all pairs a < b of distinct values of prints.fingerprint within the radius; radius 1 to 30.
+
+    agree: how many blocks a key has; None: as planned for the number of rows.
+    """
     if not 1 <= radius <= 30:
         raise ValueError("radius must be 1 to 30")
-    masks = _masks(radius)
-    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fingerprint").bitwiseAND(_signed(m)).alias("key")) for t, m in enumerate(masks)]))
-    keyed = prints.select("fingerprint", tables.alias("x")).select("x.t", "x.key", "fingerprint")
+    agree = agree or planned(prints.count(), radius)
+    blocks = _blocks(radius, agree)
+    # a table goes by the set of its blocks, as bits
+    tables = [(sum(1 << k for k in some), _signed(sum(blocks[k] for k in some))) for some in combinations(range(len(blocks)), agree)]
+    tables = prints.sparkSession.createDataFrame(tables, "t bigint, mask bigint")  # MAX_TABLES rows at most
+    keyed = prints.select("fingerprint").crossJoin(F.broadcast(tables)).select("t", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("key"), "fingerprint")
     a, b = keyed.alias("a"), keyed.alias("b")
     differ = F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint"))
-    first = F.lit(len(masks))
-    for t, m in reversed(list(enumerate(masks))):
-        first = F.when(differ.bitwiseAND(_signed(m)) == 0, t).otherwise(first)
+    equal = sum(F.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, m in enumerate(blocks))
+    # the first table that holds a pair is that of its first equal blocks: the lowest other equal one is above them
+    rest = equal.bitwiseAND(F.bitwise_not(F.col("a.t")))
+    first = (rest == 0) | (rest.bitwiseAND(-rest) > F.col("a.t"))
     near = (F.col("a.fingerprint") < F.col("b.fingerprint")) & (F.bit_count(differ) <= radius)
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & near & (F.col("a.t") == first))
+    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & near & first)
     return pairs.select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"), F.bit_count(differ).cast("int").alias("distance"))
 
 
 def search(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row for each distinct fingerprint: (fingerprint, doc_ids, near).
-
-    doc_ids lists, in order, the documents that have it (each once, however many rows it has); near
-    lists (distance, doc_id) of every other fingerprint within the radius, by its least doc_id, nearest
-    first. Null and blank texts have no fingerprint. Rows of one doc_id with several texts appear
-    under each. An empty table gives an empty result; other columns are not looked at.
+    """(doc_id, fingerprint, other_id, distance): a row for each document and fingerprint near its own.
+
+    A fingerprint goes by its least doc_id. A document that isn't the least of its fingerprint has one row,
+    with distance 0 and that least one. The least one has a row for each other fingerprint within the
+    radius, or, if there is none, one with other_id and distance null; so no row or group grows with how
+    often a text is repeated. Null and blank texts have no fingerprint and no row. Repeated rows count once;
+    a doc_id with several texts appears under each. An empty table gives an empty result; other columns
+    are not looked at.
     """
-    prints = _shared.materialize(fingerprints(docs), "prints")
-    lists = prints.groupBy("fingerprint").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
+    prints = _shared.materialize(fingerprints(docs).distinct(), "prints")
     reps = _shared.materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "reps")
     pairs = near_pairs(reps, radius)
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("fingerprint"), F.col("b").alias("other"), "distance"), F.struct(F.col("b").alias("fingerprint"), F.col("a").alias("other"), "distance"))).alias("x")).select("x.*")
-    named = both.join(reps.select(F.col("fingerprint").alias("other"), "rep"), "other")
-    near = named.groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct("distance", F.col("rep").alias("doc_id")))).alias("near"))
-    empty = F.from_json(F.lit("[]"), "array<struct<distance:int,doc_id:bigint>>")
-    return lists.join(near, "fingerprint", "left").select("fingerprint", "doc_ids", F.coalesce("near", empty).alias("near"))
+    named = both.join(reps.select(F.col("fingerprint").alias("other"), F.col("rep").alias("other_id")), "other").drop("other")
+    near = reps.join(named, "fingerprint", "left").select(F.col("rep").alias("doc_id"), "fingerprint", "other_id", "distance")
+    copies = prints.join(reps, "fingerprint").where("doc_id <> rep").select("doc_id", "fingerprint", F.col("rep").alias("other_id"), F.lit(0).alias("distance"))
+    return near.unionByName(copies)

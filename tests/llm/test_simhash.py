@@ -51,8 +51,9 @@ def test_words_are_cut_at_documents_and_case_is_ignored():
     assert _hamming(_prints([long], 256)[0], _prints([long + " another end"], 256)[0]) < 8
 
 
+@pytest.mark.parametrize("agree", [None, 1, 3])
 @pytest.mark.parametrize("radius", [1, 3, 6])
-def test_near_pairs_are_all_found(spark, radius):
+def test_near_pairs_are_all_found(spark, radius, agree):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 1 << 63, 60)
     some = {int(x) for x in base}
@@ -63,20 +64,40 @@ def test_near_pairs_are_all_found(spark, radius):
                 y ^= 1 << b
             some.add(y - (1 << 64) if y >> 63 else y)
     values = sorted(some)
-    got = {(r.a, r.b): r.distance for r in simhash_fingerprints.near_pairs(spark.createDataFrame([(v,) for v in values], "fingerprint bigint"), radius).collect()}
-    want = {(a, b): d for i, a in enumerate(values) for b in values[i + 1 :] if (d := ((a ^ b) & (1 << 64) - 1).bit_count()) <= radius}
-    assert got == want
+    got = [(r.a, r.b, r.distance) for r in simhash_fingerprints.near_pairs(spark.createDataFrame([(v,) for v in values], "fingerprint bigint"), radius, agree).collect()]
+    want = [(a, b, d) for i, a in enumerate(values) for b in values[i + 1 :] if (d := ((a ^ b) & (1 << 64) - 1).bit_count()) <= radius]
+    assert sorted(got) == want
+
+
+@pytest.mark.parametrize("radius", [1, 3, 8, 30])
+def test_planned_keys_grow_with_the_corpus(radius):
+    before = 0
+    for n in (1, 10**3, 10**6, 10**9, 10**11):
+        agree = simhash_fingerprints.planned(n, radius)
+        assert agree >= max(before, 1)
+        before = agree
+
+
+def _rows(df):
+    return sorted((r.doc_id, r.other_id if r.other_id is not None else -1, r.distance) for r in df.collect())
 
 
 def test_search_lists(spark, awkward, no_docs, documents):
-    got = simhash_fingerprints.search(documents).collect()
-    prints = {r.doc_id: r.fingerprint for r in simhash_fingerprints.fingerprints(documents).collect()}
-    assert sorted(d for r in got for d in r.doc_ids) == sorted(prints)
-    for r in got:
-        want = sorted((d, min(x for x, f in prints.items() if f == other)) for other in set(prints.values()) - {r.fingerprint} if (d := ((r.fingerprint ^ other) & (1 << 64) - 1).bit_count()) <= 3)
-        assert [(x.distance, x.doc_id) for x in r.near] == want
-    lists = [r.doc_ids for r in simhash_fingerprints.search(awkward).collect()]
-    assert [20, 21, 22, 23, 30] in lists and not any(d in (1, 2, 3) for x in lists for d in x)
+    for radius in (3, simhash_fingerprints.COPY_RADIUS):
+        got = simhash_fingerprints.search(documents, radius)
+        prints = {r.doc_id: r.fingerprint for r in simhash_fingerprints.fingerprints(documents).collect()}
+        least = {}
+        for d, f in sorted(prints.items()):
+            least.setdefault(f, d)
+        want = [(d, least[f], 0) for d, f in prints.items() if least[f] != d]
+        for f, d in least.items():
+            near = [(d, o, n) for g, o in least.items() if g != f and (n := ((f ^ g) & (1 << 64) - 1).bit_count()) <= radius]
+            want += near or [(d, -1, None)]
+        assert _rows(got) == sorted(want)
+        assert all(prints[r.doc_id] == r.fingerprint for r in got.collect())
+    rows = _rows(simhash_fingerprints.search(awkward))
+    assert [r for r in rows if r[0] in (20, 21, 22, 23, 30)] == [(20, -1, None), *[(d, 20, 0) for d in (21, 22, 23, 30)]]
+    assert not any(r[0] in (1, 2, 3) for r in rows)
     assert simhash_fingerprints.search(no_docs).count() == 0
     with pytest.raises(ValueError):
         simhash_fingerprints.near_pairs(no_docs, 0)
@@ -91,14 +112,29 @@ def test_the_query_lists_edited_copies(spark, tmp_path):
     texts = [words(rng, rng.randrange(60, 400)) for _ in range(200)]
     texts += [_edited(rng, t, 0.02) for t in texts] + [words(rng, 150) for _ in range(300)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    of, near = {}, set()
-    got = queries.op5_simhash_fingerprints(spark, str(tmp_path)).collect()
-    for r in got:
-        of |= {d: r.doc_ids[0] for d in r.doc_ids}
-        near |= {(r.doc_ids[0], x.doc_id) for x in r.near}
-    found = [of[i] == of[i + 200] or (of[i], of[i + 200]) in near for i in range(200)]
-    assert np.mean(found) >= 0.9
-    assert all(b - a == 200 for a, b in near if a < b)  # no unrelated text
+    got = {(r.doc_id, r.other_id) for r in queries.op5_simhash_fingerprints(spark, str(tmp_path)).collect() if r.other_id is not None}
+    assert np.mean([(i, i + 200) in got or (i + 200, i) in got for i in range(200)]) >= 0.9
+    assert all(abs(a - b) == 200 for a, b in got)  # no unrelated text
+
+
+def test_copies_of_unspaced_text_are_listed(spark):
+    rng = random.Random(9)
+    han = [chr(c) for c in range(0x4E00, 0x5A00)]
+    texts = ["".join(rng.choices(han, k=300)) for _ in range(40)]
+    texts += [t[:100] + rng.choice(han) + t[101:] for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.other_id) for r in simhash_fingerprints.search(docs, simhash_fingerprints.COPY_RADIUS).collect() if r.other_id is not None}
+    assert sum((i, i + 40) in got or (i + 40, i) in got for i in range(40)) >= 36 and all(abs(a - b) == 40 for a, b in got)
+    groups = {r.doc_id: r.group_id for r in simhash_neardup.near_duplicates(docs).collect()}
+    assert all(groups[i + 40] == i for i in range(40)) and len(set(groups.values())) == 40
+
+
+def test_windows_change_nothing(monkeypatch):
+    texts = ["The cat, sat. " * 40 + "É" * 90, "", "x" * 300, "漢字テスト" * 30, " \n ", "a"]
+    whole = _prints(texts, 256)
+    monkeypatch.setattr(_text, "WINDOW", 61)
+    monkeypatch.setattr(_text, "_powers", [])
+    assert all((a == b).all() for a, b in zip(whole, _prints(texts, 256), strict=True))
 
 
 def test_recall_against_brute_force(spark):
