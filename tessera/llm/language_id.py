@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tessera.llm import _shared, _text
 
 ORDERS, HASH_BITS = (2, 3, 4), 18
-#: Labelled documents used for training at most, over all languages. Texts above so many characters aren't drawn.
-TRAIN_ROWS, MAX_TRAIN_CHARS = 1600, 20_000
+#: Labelled documents used for training at most, over all languages.
+TRAIN_ROWS = 1600
 #: Landmarks, drawn from the training rows. Each document also gives a row of so many bytes from its middle, so that short texts are learnt too.
 LANDMARKS, PIECE = 480, 120
 PENALTY = 1e-2
@@ -30,19 +30,34 @@ MIN_EVIDENCE = 0.15
 SEED = 5
 
 
-def presence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, n-gram) of the distinct hashed n-grams of each text, by row; for one group of at most CHUNK_DOCS texts."""
-    low = _text.Words(data, offsets).low.astype(np.uint32)
-    o = offsets - offsets[0]
-    row = np.repeat(np.arange(len(o) - 1, dtype=np.uint32), np.diff(o))
-    keys, code = [], low
+def _hashed(low: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hash of the n-gram that begins at each byte) for each order."""
+    code = low.astype(np.uint32)
+    last = code
     for n in range(2, max(ORDERS) + 1):
-        code = code[:-1] * np.uint32(256) + low[n - 1 :] if len(code) > 1 else code[:0]
+        code = code[:-1] * np.uint32(256) + last[n - 1 :] if len(code) > 1 else code[:0]
         if n in ORDERS:
             h = (code ^ np.uint32(n * 0x61C88647 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
             h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77)
-            own = row[: len(code)] == row[n - 1 :] if len(code) else np.zeros(0, bool)
-            keys.append(((row[: len(code)] << np.uint32(HASH_BITS)) | (h >> np.uint32(32 - HASH_BITS)))[own])
+            yield n, h >> np.uint32(32 - HASH_BITS)
+
+
+def presence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, n-gram) of the distinct hashed n-grams of each text, by row; for one group of at most CHUNK_DOCS texts."""
+    o = offsets - offsets[0]
+    raw = data[offsets[0] : offsets[-1]]
+    if len(o) == 2 and len(raw) > _text.WINDOW:  # a long text: windows that overlap by the longest n-gram but a byte
+        seen = np.zeros(1 << HASH_BITS, bool)
+        for a, b in _text.windows(len(raw)):
+            for _, h in _hashed(_text.lowered(raw, a, b + max(ORDERS) - 1)):
+                seen[h] = True
+        gram = np.flatnonzero(seen)
+        return np.zeros(len(gram), np.int64), gram
+    row = np.repeat(np.arange(len(o) - 1, dtype=np.uint32), np.diff(o))
+    keys = []
+    for n, h in _hashed(_text.lowered(raw)):
+        own = row[: len(h)] == row[n - 1 :] if len(h) else np.zeros(0, bool)
+        keys.append(((row[: len(h)] << np.uint32(HASH_BITS)) | h)[own])
     key = np.sort(np.concatenate(keys))
     key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
     return (key >> np.uint32(HASH_BITS)).astype(np.int64), (key & np.uint32((1 << HASH_BITS) - 1)).astype(np.int64)
@@ -54,6 +69,19 @@ def each_presence(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [gram[cut[k] : cut[k + 1]] for k in range(len(offsets) - 1)]
 
 
+def _packed(gram: np.ndarray) -> bytes:
+    """n-grams as numbers, or as a bit for each possible one where that is shorter: a long text takes 32 kB at most."""
+    if 4 * len(gram) < (1 << HASH_BITS) // 8:
+        return gram.astype(np.int32).tobytes()
+    flags = np.zeros(1 << HASH_BITS, bool)
+    flags[gram] = True
+    return np.packbits(flags).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int32) if len(raw) < (1 << HASH_BITS) // 8 else np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8)))
+
+
 class Model:
     """matrix: (n-grams x languages)."""
 
@@ -75,11 +103,16 @@ class Model:
 def kernel(rows: list[np.ndarray], landmarks: list[np.ndarray]) -> np.ndarray:
     """Normalised kernel values of texts and landmarks, each given by its n-grams."""
     vocabulary, at = np.unique(np.concatenate(landmarks), return_inverse=True)
-    dense = np.zeros((len(vocabulary) + 1, len(landmarks)), np.float32)
-    dense[at, np.repeat(np.arange(len(landmarks)), [len(x) for x in landmarks])] = 1
+    dense = np.zeros((len(vocabulary) + 1, len(landmarks)), bool)
+    dense[at, np.repeat(np.arange(len(landmarks)), [len(x) for x in landmarks])] = True
     column = np.full(1 << HASH_BITS, len(vocabulary))
     column[vocabulary] = np.arange(len(vocabulary))
-    shared = np.stack([dense[column[x]].sum(0, dtype=np.float64) for x in rows])
+    shared = np.zeros((len(rows), len(landmarks)))
+    for k, x in enumerate(rows):
+        held = column[x]
+        held = held[held < len(vocabulary)]
+        for i in range(0, len(held), 1 << 14):
+            shared[k] += dense[held[i : i + (1 << 14)]].sum(0, dtype=np.int32)
     return shared / np.sqrt(np.outer([max(len(x), 1) for x in rows], [max(len(x), 1) for x in landmarks]))
 
 
@@ -104,32 +137,49 @@ def train(grams: list[np.ndarray], y: list[str], landmarks: int = LANDMARKS, pen
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, seed: int = SEED) -> Model:
     """Trains on at most `rows` documents with a language in `lang`, as many of each language, by a hash of doc_id.
 
-    Null ids, texts and languages and empty texts are left out. Without any, the model knows no language.
+    Null ids, texts and languages and texts of a single character are left out; texts of any length are
+    drawn and count whole. Without any, the model knows no language.
     """
-    usable = docs.where("doc_id is not null and lang is not null and length(text) between 2 and " + str(MAX_TRAIN_CHARS))
-    known = usable.select("lang").distinct().count()
-    each = max(2, rows // max(known, 1))
+    usable = docs.where("doc_id is not null and lang is not null and length(text) >= 2")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    drawn = _shared.materialize(usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id", "lang").distinct(), "drawn")
+    # one pass ranks ids by language; how many of each are used follows from how many languages there are
+    ranked = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(2, rows))
+    ranked = _shared.materialize(ranked, "ranked")
+    each = max(2, rows // max(ranked.select("lang").distinct().count(), 1))
+    drawn = ranked.where(F.col("n") <= each).select("doc_id", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _text.parts(batches):
             data, offsets, _ = _text.column_buffers(b.column(1))
             found = []
             for i, j in _text.groups(offsets):
-                found += [x.astype(np.int32).tobytes() for x in each_presence(data, offsets[i : j + 1])]
+                found += map(_packed, each_presence(data, offsets[i : j + 1]))
             start = (offsets[:-1] + offsets[1:] - PIECE) // 2
             cuts = np.stack([np.maximum(start, offsets[:-1]), np.minimum(start + PIECE, offsets[1:])], axis=1)
-            pieces = [each_presence(data, c)[0].astype(np.int32).tobytes() for c in cuts]
+            pieces = [_packed(each_presence(data, _characters(data, c))[0]) for c in cuts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary()), pa.array(pieces, pa.binary())], ["doc_id", "lang", "grams", "piece"])
 
     texts = usable.select("doc_id", "text", "lang").join(_shared.small(drawn), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     got = sorted(texts.select("doc_id", "text", "lang").mapInArrow(run, "doc_id bigint, lang string, grams binary, piece binary").collect())
+    _shared.release(ranked)
     if not got:
         return Model([], np.zeros((0, 1 << HASH_BITS)))
     rows_ = [(x, r.lang) for r in got for x in (r.grams, r.piece)]
     order = np.random.default_rng(seed).permutation(len(rows_))
-    return train([np.frombuffer(rows_[k][0], np.int32) for k in order], [rows_[k][1] for k in order], landmarks)[0]
+    return train([_unpacked(rows_[k][0]) for k in order], [rows_[k][1] for k in order], landmarks)[0]
+
+
+def _characters(data: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The range without the rest of a character that begins before it, or of one that goes on after it."""
+    a, b = cut.tolist()
+    part = data[a:b]
+    starts = np.flatnonzero((part & 0xC0) != 0x80)
+    if not len(starts):
+        return np.array([a, a])
+    lead = int(part[starts[-1]])
+    size = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+    end = b if starts[-1] + size <= len(part) else a + int(starts[-1])
+    return np.array([a + int(starts[0]), max(end, a + int(starts[0]))])
 
 
 def _decide(text: pa.Array, model: Model, min_evidence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
