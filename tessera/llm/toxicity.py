@@ -2,12 +2,15 @@
 
 A text's features are the presence of its (hashed) words; s is the sum of their weights. The chance of a grade
 above j is sigmoid(s - threshold[j]), with the same weights for every threshold. Training minimises
-the negative log likelihood of the grades with an L1 penalty by proximal AdaGrad.
+the negative log likelihood of the grades with an L1 penalty by proximal AdaGrad; the penalty is the
+one under which folds left out are likeliest, so it is the labels that decide how many words count.
+Words come into question by the size of their effect alone, whatever the number of labels: they are LIFT times
+as frequent (in documents) in one class as in the other.
 
 Where the labels only tell toxic (1) from clean (0), grades come from them so: 0 is clean; toxic
 documents get 1 to 3 by how many distinct marker words they hold, cut at the terciles of the toxic
-documents that hold any. Marker words are those at least MARKER_LIFT times as frequent (in documents)
-among toxic as among clean documents of the sample. Toxic documents without one get grade 1.
+documents that hold any. Marker words are those at least LIFT times as frequent (in documents) among
+toxic as among clean documents of the sample. Toxic documents without one get grade 1.
 """
 
 from __future__ import annotations
@@ -22,13 +25,13 @@ from pyspark.sql import functions as F
 from tessera.llm import _sample, _text
 
 HASH_BITS = 20
-#: Labelled documents used for training at most. Words in fewer of them than MIN_DOCS get no weight, nor do
-#: those whose shares among toxic and clean documents differ by less than MIN_Z standard errors.
-TRAIN_ROWS, MIN_DOCS, MIN_Z = 8000, 4, 8.0
-MARKER_LIFT = 8.0
-#: A text is toxic if its chance of a grade above 0 is at least this.
-FLAG_AT = 0.25
-PENALTY, STEPS = 1e-6, 3000
+#: Labelled documents used for training at most. Words in fewer of them than MIN_DOCS get no weight.
+TRAIN_ROWS, MIN_DOCS, LIFT = 8000, 3, 8.0
+#: A text is toxic if its chance of a grade above 0 is at least this (a document that holds a single one of
+#: the telling words lies just above it).
+FLAG_AT = 0.15
+#: Penalties to choose from, folds and steps to choose by, steps of the last fit.
+PENALTIES, FOLDS, TRIAL_STEPS, STEPS = (3e-3, 1e-3, 3e-4, 1e-4, 3e-5), 4, 200, 1000
 SEED = 3
 
 
@@ -54,7 +57,7 @@ class Model:
         return np.where(np.isinf(self.thresholds), 0.0, _sigmoid(s[:, None] - self.thresholds))
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, y: np.ndarray, columns: int, grades: int, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(row: np.ndarray, col: np.ndarray, y: np.ndarray, columns: int, grades: int, penalty: float = 1e-6, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) for the presence matrix with ones at (row, col) and the grades y."""
     n = len(y)
     share = np.array([(np.sum(y > j) + 0.5) / (n + 1) for j in range(grades - 1)])
@@ -83,7 +86,7 @@ def grade(row: np.ndarray, col: np.ndarray, toxic: np.ndarray, columns: int) ->
     n_bad, n_good = max(bad.sum(), 1), max((~bad).sum(), 1)
     df_bad = np.bincount(col[bad[row]], minlength=columns)
     df_good = np.bincount(col[~bad[row]], minlength=columns)
-    marker = (df_bad >= 3) & (df_bad / n_bad >= MARKER_LIFT * (df_good + 1) / n_good)
+    marker = (df_bad >= 3) & (df_bad / n_bad >= LIFT * (df_good + 1) / n_good)
     held = np.bincount(row, weights=marker[col], minlength=len(toxic))
     some = held[bad & (held > 0)]
     cuts = np.quantile(some, [1 / 3, 2 / 3]) if len(some) else np.array([np.inf, np.inf])
@@ -91,12 +94,39 @@ def grade(row: np.ndarray, col: np.ndarray, toxic: np.ndarray, columns: int) ->
 
 
 def telling(row: np.ndarray, col: np.ndarray, bad: np.ndarray, columns: int) -> np.ndarray:
-    """Which words (columns) tell toxic from clean documents, as MIN_DOCS and MIN_Z have it."""
-    n1, n0 = max(bad.sum(), 1), max((~bad).sum(), 1)
+    """Which words (columns) come into question, as MIN_DOCS and LIFT have it: by document frequencies with half a document added to each class."""
+    n1, n0 = bad.sum(), (~bad).sum()
     d1, d0 = np.bincount(col[bad[row]], minlength=columns), np.bincount(col[~bad[row]], minlength=columns)
-    p = (d1 + d0) / (n1 + n0)
-    z = np.abs(d1 / n1 - d0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    return (d1 + d0 >= min(MIN_DOCS, max(2, (n1 + n0) // 20))) & (z >= MIN_Z)
+    effect = np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (n0 + 1))
+    return (d1 + d0 >= min(MIN_DOCS, max(2, (n1 + n0) // 20))) & (np.abs(effect) >= np.log(LIFT))
+
+
+def loss(w: np.ndarray, t: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray) -> float:
+    """The mean negative log likelihood of the grades y."""
+    s, last = np.bincount(row, weights=w[col], minlength=len(y)), len(t)
+    a = np.where(y < last, _sigmoid(t[np.minimum(y, last - 1)] - s), 1.0)
+    b = np.where(y > 0, _sigmoid(t[np.maximum(y - 1, 0)] - s), 0.0)
+    return float(-np.log(np.maximum(a - b, 1e-12)).mean())
+
+
+def chosen_penalty(row: np.ndarray, col: np.ndarray, y: np.ndarray, columns: int, grades: int) -> float:
+    """The penalty of PENALTIES with the least loss on folds left out; words are chosen anew without each fold."""
+    fold = np.arange(len(y)) % FOLDS
+    total = np.zeros(len(PENALTIES))
+    for f in range(FOLDS):
+        parts = []
+        for mine in (fold != f, fold == f):
+            has = mine[row]
+            parts.append(((np.cumsum(mine) - 1)[row[has]], col[has], y[mine]))
+        (r, c, yy), (r2, c2, y2) = parts
+        if len(set(yy.tolist())) < 2:
+            return PENALTIES[0]
+        some = telling(r, c, yy > 0, columns)
+        r, c = r[some[c]], c[some[c]]
+        for k, penalty in enumerate(PENALTIES):
+            w, t = fit_ordinal(r, c, yy, columns, grades, penalty, TRIAL_STEPS)
+            total[k] += loss(w, t, r2, c2, y2)
+    return PENALTIES[int(total.argmin())]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, graded: bool = False, seed: int = SEED) -> Model:
@@ -128,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
         y = grade(row, col, y, len(vocabulary))
     renamed = np.cumsum(often) - 1
     has = often[col]
-    w, t = fit_ordinal(row[has], renamed[col[has]], y, int(often.sum()), int(y.max()) + 1)
+    row, col, columns, n = row[has], renamed[col[has]], int(often.sum()), int(y.max()) + 1
+    w, t = fit_ordinal(row, col, y, columns, n, chosen_penalty(row, col, y, columns, n))
     weights = np.zeros(1 << HASH_BITS)
     weights[vocabulary[often]] = w
     return Model(weights, t)
