@@ -50,8 +50,7 @@ def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return quality.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
