@@ -82,13 +82,34 @@ def _sql_normal(u: str) -> str:
     return f"CASE WHEN {_sql_host(u)} = '' THEN {u} ELSE 'https://' || regexp_replace({_sql_host(u)}, '^(www|m)[.]', '') || {path} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END END"
 
 
+def _sql_decoded(t: str) -> str:
+    for pattern, sign in url_filters._ENTITIES:
+        t = f"regexp_replace({t}, '(?i){pattern}', {_quoted(sign)}, 'g')"
+    return f"trim({t})"
+
+
+def _sql_without_dots(path: str) -> str:
+    """Segments as lists of one, folded into one list."""
+    parts = f"string_split({path}, '/')[2:]"
+    kept = f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({parts}, lambda x: [x])), lambda s, x: CASE x[1] WHEN '..' THEN s[:greatest(len(s) - 1, 0)] WHEN '.' THEN s ELSE list_concat(s, x) END)"
+    return f"'/' || array_to_string({kept}, '/') || CASE WHEN {parts}[-1] IN ('.', '..') AND len({kept}) > 0 THEN '/' ELSE '' END"
+
+
 def _sql_resolved(t: str) -> str:
-    return f"CASE WHEN regexp_matches({t}, {_quoted(url_filters._SCHEME + '.')}) THEN {t} WHEN starts_with({t}, '//') THEN 'https:' || {t} WHEN starts_with({t}, '/') THEN 'https://' || {_sql_host('url')} || {t} END"
+    host, folder = _sql_host("url"), f"regexp_replace({_sql_path('url')}, '[^/]*$', '')"
+    own, rest = f"regexp_replace({t}, '(?s)[?#].*$', '')", f"regexp_extract({t}, '(?s)([?#].*)$', 1)"
+    path = f"CASE WHEN starts_with({own}, '/') THEN {own} ELSE (CASE WHEN {folder} = '' THEN '/' ELSE {folder} END) || {own} END"
+    return (
+        f"CASE WHEN {t} = '' OR starts_with({t}, '#') THEN NULL WHEN regexp_matches({t}, {_quoted(url_filters._SCHEME + '.')}) THEN {t} WHEN starts_with({t}, '//') THEN 'https:' || {t} "
+        f"WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') OR {host} = '' THEN NULL WHEN starts_with({t}, '?') THEN 'https://' || {host} || {_sql_path('url')} || {t} "
+        f"ELSE 'https://' || {host} || {_sql_without_dots(path)} || {rest} END"
+    )
 
 
 _OP1 = f"""
-WITH RECURSIVE p AS (SELECT url, coalesce(html, '') AS html FROM pages WHERE url IS NOT NULL),
-t AS (SELECT url, regexp_extract(regexp_extract(html, {_quoted(url_filters._CANONICAL_TAG)}, 1), {_quoted(url_filters._HREF)}, 1) AS canonical, regexp_extract(html, {_quoted(url_filters._REFRESH)}, 1) AS refresh FROM p),
+WITH RECURSIVE p AS (SELECT url, regexp_replace(coalesce(html, ''), {_quoted(url_filters._HIDDEN)}, '', 'g') AS html FROM pages WHERE url IS NOT NULL),
+tags AS (SELECT url, regexp_extract(html, {_quoted(url_filters._CANONICAL_TAG)}, 1) AS link, regexp_extract(html, {_quoted(url_filters._REFRESH_TAG)}, 1) AS meta FROM p),
+t AS (SELECT url, {_sql_decoded(" || ".join(f"regexp_extract(link, {_quoted(url_filters._HREF)}, {k})" for k in (1, 2, 3)))} AS canonical, {_sql_decoded(f"regexp_extract(meta, {_quoted(url_filters._REFRESH)}, 1)")} AS refresh FROM tags),
 e1 AS (SELECT url AS a, {_sql_normal("url")} AS b FROM t UNION SELECT url, {_sql_resolved("canonical")} FROM t UNION SELECT url, {_sql_resolved("refresh")} FROM t),
 e AS (SELECT a, b FROM e1 WHERE b IS NOT NULL UNION SELECT b, {_sql_normal("b")} FROM e1 WHERE b IS NOT NULL),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
