@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tessera.llm import _shared, _text
 
 K, BLOCK, MERGE = 10, 4096, 8
-#: Partitions of either side of the product at most; it has as many tasks as their square.
-SIDE = 64
+#: Partitions of either side of the product: a block each up to so many, then BLOCKS_EACH blocks each, up to SIDE_MOST. It has as many tasks as their square.
+SIDE, BLOCKS_EACH, SIDE_MOST = 64, 4, 1024
 #: Queries that a matrix product takes at a time; decimals that scores are rounded to.
 SLICE, DECIMALS = 256, 9
 
@@ -34,12 +34,15 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def best(query: np.ndarray, query_id: np.ndarray, shard: np.ndarray, shard_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of each query's k best in the shard, without itself; rows filled up with -1 and -inf. Ties go to the lesser id."""
     ids, scores = np.full((len(query), k), -1, np.int64), np.full((len(query), k), -np.inf)
+    # what a product of these lengths may be off by, in the matrix product or the sum in order
+    longest = np.sqrt((shard * shard).sum(1).max(initial=0.0))
+    slack = 2 * 10.0**-DECIMALS + 4 * np.finfo(float).eps * shard.shape[1] * longest * np.sqrt((query * query).sum(1))
     for i in range(0, len(query), SLICE):
         q = query[i : i + SLICE]
         s = q @ shard.T
         s[query_id[i : i + SLICE, None] == shard_id[None, :]] = -np.inf
         floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else s.min(axis=1)
-        row, col = np.nonzero((s >= floor[:, None] - 2 * 10.0**-DECIMALS) & (s > -np.inf))
+        row, col = np.nonzero((s >= (floor - slack[i : i + SLICE])[:, None]) & (s > -np.inf))
         exact = _exact(q[row], shard[col])
         order = np.lexsort((shard_id[col], -exact, row))
         row, col, exact = row[order], col[order], exact[order]
@@ -77,7 +80,7 @@ def search(vectors: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     laid = rows.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("b").applyInArrow(lay, "b int, ids binary, vs binary")
     laid = _shared.materialize(laid, "blocks")
     # a side's blocks are spread over partitions once; tiles themselves are never shuffled
-    laid = laid.repartitionByRange(min(blocks, SIDE), "b")
+    laid = laid.repartitionByRange(min(blocks, max(SIDE, min(SIDE_MOST, blocks // BLOCKS_EACH))), "b")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
