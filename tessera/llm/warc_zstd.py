@@ -21,11 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import _shared
+from tessera.llm import _sample
 
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: Records that the dictionary is trained on at most, its size, the compression level.
 DICTIONARY_ROWS, DICTIONARY_BYTES, LEVEL = 500, 64 << 10, 3
+SEED = 42
 _REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 RECORD = "path string, ordinal bigint, offset bigint, warc_type string, target_uri string, record_id string, date string, content_length bigint, headers map<string,string>, block binary, error string"
 
@@ -71,7 +72,11 @@ def read_frame(stream: _Stream, magic: bytes) -> bytes:
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """(headers, block) of one record; raises Corrupt where it breaks the format."""
+    """(headers, block) of one record; raises Corrupt where it breaks the format.
+
+    The values of a header given several times are joined by line breaks, which a value can't hold; the
+    required ones may be given once only.
+    """
     head, gap, rest = data.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not gap or not lines[0].startswith(b"WARC/1."):
@@ -87,7 +92,9 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
         if not colon or not name.strip():
             raise Corrupt("header line without a name")
         last = name.strip().lower()
-        headers.setdefault(last, value.strip())
+        if last in headers and last in _REQUIRED:
+            raise Corrupt(f"header {last} given twice")
+        headers[last] = f"{headers[last]}\n{value.strip()}" if last in headers else value.strip()
     if missing := [x for x in _REQUIRED if not headers.get(x)]:
         raise Corrupt("missing header " + ", ".join(missing))
     if not headers["content-length"].isdecimal():
@@ -139,7 +146,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives at path (a file, folder or pattern), as RECORD has them.
 
     A record that breaks the format, or a file cut short, gives a row with error set and the record's
-    fields null. Records without a target have target_uri null. No archives, no rows.
+    fields null. Header names are in lower case; several values of one are joined by line breaks. Records without a target have target_uri null. No archives, no rows.
     """
     # only names are read here; contents are streamed by the tasks
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", True).load(path).select("path")
@@ -194,7 +201,7 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
 def write(pages: DataFrame, path: str) -> int:
     """Writes the rows of pages as archives under path, one for each partition; gives their number. Null values survive a round trip."""
     # ids are chosen first: ordering whole pages would send the first of every task to the driver
-    ids = pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(DICTIONARY_ROWS)
+    ids = _sample.least_hashes(pages.select(F.col("page_id").alias("doc_id")).where("doc_id is not null").distinct(), DICTIONARY_ROWS, SEED).select(F.col("doc_id").alias("page_id"))
     some = pages.select("page_id", "url", "html").join(F.broadcast(ids), "page_id", "left_semi").limit(DICTIONARY_ROWS).collect()
     dictionary = train_dictionary([record(*r) for r in some])
     packed = zstandard.ZstdCompressor(level=LEVEL).compress(dictionary)

@@ -4,9 +4,11 @@ import io
 import re
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from tessera.llm import queries, topk_search, url_filters, warc_zstd
 
@@ -29,6 +31,19 @@ def test_topk_is_exact(spark, block):
     assert {(r.vec_id, r.rank): (r.neighbor_id, r.score) for r in got.collect()} == _brute(rows, 6)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e3, 1e5, 1e7])
+def test_topk_of_long_vectors_is_exact(scale):
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=16) * scale
+    x = near + rng.normal(size=(600, 16)) * scale * 1e-9  # products that differ in their last digits only
+    ids = rng.permutation(600)
+    got, scores = topk_search.best(x[:200], ids[:200], x, ids, 10)
+    for i in range(200):
+        exact = topk_search._exact(np.repeat(x[i : i + 1], 600, 0), x)
+        want = sorted((-s, j) for s, j in zip(exact, ids, strict=True) if j != ids[i])[:10]
+        assert got[i].tolist() == [j for _, j in want] and scores[i].tolist() == [-s for s, _ in want]
+
+
 def test_topk_awkward(spark):
     rows = [(1, [1.0, 0.0], 0, 0), (1, [1.0, 0.0], 0, 0), (2, [0.0, 1.0], 0, 0), (3, None, 0, 0), (None, [1.0, 1.0], 0, 0), (4, [], 0, 0), (5, [1.0], 0, 0), (6, [float("nan"), 1.0], 0, 0), (7, [float("inf"), 1.0], 0, 0), (8, [None, 1.0], 0, 0)]
     got = topk_search.search(spark.createDataFrame(rows, VECTORS)).collect()
@@ -78,6 +93,62 @@ def test_decisions_spread_and_allow_wins(spark):
     assert {r.decision for r in url_filters.decide(pages, _rules(spark).limit(0)).collect()} == {"none"}
 
 
+@pytest.mark.parametrize(
+    "base,target,want",
+    [
+        ("https://a.com/x/y.html?q=1", "page.html", "https://a.com/x/page.html"),
+        ("https://a.com/x/y/z", "../up", "https://a.com/x/up"),
+        ("https://a.com", "../../top", "https://a.com/top"),
+        ("https://a.com/x/y", "?p=1", "https://a.com/x/y?p=1"),
+        ("https://a.com/x/y", "./a/./b/../c?d=../e", "https://a.com/x/a/c?d=../e"),
+        ("https://a.com/x/y", "..", "https://a.com/"),
+        ("https://a.com/x/y/", ".", "https://a.com/x/y/"),
+        ("https://a.com/x", "//b.com/z", "https://b.com/z"),
+        ("https://a.com/x", "/r/../s", "https://a.com/s"),
+        ("https://a.com/x", "ftp://c.com/z", "ftp://c.com/z"),
+        ("https://a.com/x", "mailto:a@b", None),
+        ("https://a.com/x", "#part", None),
+        ("https://a.com/x", "", None),
+        ("no url", "page.html", None),
+    ],
+)
+def test_relative_targets(spark, base, target, want):
+    got = spark.createDataFrame([(base, target)], "base string, target string").select(url_filters.resolved(F.col("target"), F.col("base")).alias("r"))
+    assert got.first().r == want
+
+
+LINKS = [
+    '<link href="{0}" rel="canonical">', "<LINK data-href='x' REL=canonical HREF='{0}'/>", "<link rel=canonical href={0}>", '<meta http-equiv="refresh" content="0; url={0}">',
+    "<meta content=\"1;URL='{0}'\" http-equiv=Refresh>", '<!-- <link rel="canonical" href="https://bad.org/z"> --><link rel="canonical" href="{0}">',
+]
+HIDDEN = ['<!-- <link rel="canonical" href="{0}"> -->', "<script>x = '<link rel=canonical href={0}>'</script>", "<style><link rel=canonical href={0}></style>", '<!-- never closed <link rel="canonical" href="{0}">', '<link rel="stylesheet" href="{0}">']
+
+
+def test_links_in_every_form_and_their_sql(spark, tmp_path):
+    targets = {"https://www.spam-farm.example.org/a": True, "../x?a=1&amp;b=2": None, "b.html": None, "//casino-win.example.net/": True, "mailto:x@y": None, "&#x2F;": None}
+    rows, blocked = [], {}
+    for k, (form, target) in enumerate((f, t) for f in LINKS + HIDDEN for t in targets):
+        rows.append((k, f"https://site{k}.org/p/q?n={k}", f"<html>{form.format(target)}</html>"))
+        blocked[k] = bool(targets[target]) and form in LINKS
+    rows += [(1000, "https://site1.org/p/b", ""), (1001, None, LINKS[0]), (1002, "https://site1.org/x?b=2&a=1", None)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op1_url_filters(spark, str(tmp_path)).toPandas()
+    assert {r.page_id: r.blocked for r in got.itertuples() if r.page_id < 1000} == blocked
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["op1_url_filters"]).df()[list(got.columns)]
+    key = lambda df: sorted(map(repr, df.astype(object).where(df.notna(), None).values.tolist()))
+    assert key(got) == key(want)
+
+
+def test_long_urls(spark):
+    path = "/".join(f"s{k}" for k in range(50_000))
+    rows = [(1, "https://deep.bad.org/ok/" + path), (2, "https://x.bad.org/" + path), (3, "https://" + ".".join("h" * 5000) + ".bad.org/"), (4, "https://evil.com/x/" + path)]
+    pages = spark.createDataFrame([(i, u, "") for i, u in rows], "page_id bigint, url string, html string")
+    got = {r.page_id: r.decision for r in url_filters.decide(pages, _rules(spark)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block"}
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
 def test_the_querys_rules_reach_every_blocked_host(spark, size):
     got = queries.op1_url_filters(spark, f"/root/testdata/{size}").collect()
@@ -137,3 +208,8 @@ def test_warc_tells_what_is_broken():
     folded = good.replace(b"Content-Type: text/html", b"Content-Type: text/html;\r\n charset=x")
     headers, block = warc_zstd.parse_record(folded)
     assert headers["content-type"] == "text/html; charset=x" and block == b"hello"
+    twice = good.replace(b"Content-Type: text/html", b"WARC-Concurrent-To: <urn:a>\r\nContent-Type: text/html\r\nWARC-Concurrent-To: <urn:b>\r\n folded")
+    headers, block = warc_zstd.parse_record(twice)
+    assert headers["warc-concurrent-to"] == "<urn:a>\n<urn:b> folded" and headers["content-type"] == "text/html" and block == b"hello"
+    with pytest.raises(warc_zstd.Corrupt, match="twice"):
+        warc_zstd.parse_record(good.replace(b"Content-Length: 5", b"Content-Length: 5\r\nContent-Length: 5"))
