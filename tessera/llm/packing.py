@@ -5,13 +5,14 @@ sequences of its own and a rest. Items are spread over shards of about SHARD_ITE
 is a packing problem that several islands (one task each) work at. An individual assigns items to
 bins; its fitness is the mean squared filling. Crossover injects whole well-filled bins of one parent
 into the other, removes the bins that now repeat an item, and puts the displaced items where they fit
-best. After each epoch an island's elite goes to the next island of its shard. A shard stops as soon
-as it needs no more bins than its total length does.
+best. After each epoch an island's elite goes to the next island of its shard. An island stops early only
+where its best individual can't be improved: all bins full but at most one.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -26,7 +27,26 @@ CAPACITY, SHARD_ITEMS = 4096, 2000
 #: A byte-pair vocabulary (base64 token, rank) that every executor can read at this path, and how it cuts texts first.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-ISLANDS, POPULATION, OFFSPRING, EPOCHS = 4, 6, 12, 3
+#: White space in a row beyond this is counted apart: the pattern's look-ahead would go back over it character by character.
+LONG_BLANK = 4096
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_BLANK)
+ISLANDS, POPULATION, OFFSPRING, EPOCHS = 4, 6, 40, 3
+#: Islands that a task works at on average, where there are many.
+ISLANDS_PER_TASK = 64
+
+
+def count_tokens(encoding, text: str) -> int:
+    """len(encoding.encode_ordinary(text)), also with white space of any length.
+
+    The pattern makes one piece of a run of white space, without its last character where other text
+    follows; so a long run is cut out and its piece encoded as it is.
+    """
+    n, at = 0, 0
+    for m in _BLANKS.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        n += len(encoding.encode_ordinary(text[at : m.start()])) + len(encoding._encode_single_piece(text[m.start() : end]))
+        at = end
+    return n + len(encoding.encode_ordinary(text[at:] if at else text))
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = TOKENIZER) -> DataFrame:
@@ -39,9 +59,9 @@ def token_counts(docs: DataFrame, tokenizer: str | None = TOKENIZER) -> DataFram
 
         with open(tokenizer, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        encode = tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in _text.parts(batches):
-            n = [len(encode(t.decode("utf-8", "replace"))) if t else 0 for t in b.column(1).cast(pa.binary()).to_pylist()]
+            n = [count_tokens(encoding, t.decode("utf-8", "replace")) if t else 0 for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], ["doc_id", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, tokens int")
@@ -91,13 +111,16 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int,
 
 
 def mutate(a: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """Dissolves the emptiest bin and a few others and places their items again, in random order."""
+    """Dissolves the emptiest bin and some others, by their free room, and places their items again, about longest first or in random order."""
     fill = np.bincount(a, weights=lengths).astype(int)
+    used = np.flatnonzero(fill)
+    room = capacity - fill[used] + 1.0
     out = np.zeros(len(fill), bool)
-    out[rng.integers(0, len(fill), max(1, len(fill) // 20))] = True
-    out[np.argmin(np.where(fill > 0, fill, capacity + 1))] = True
-    loose, child = out[a], a.copy()
-    best_fit({int(k): capacity - int(fill[k]) for k in np.flatnonzero((fill > 0) & ~out)}, rng.permutation(np.flatnonzero(loose)), lengths, child, capacity)
+    out[rng.choice(used, min(len(used), max(2, len(used) // 40)), replace=False, p=room / room.sum())] = True
+    out[used[np.argmin(fill[used])]] = True
+    loose, child = np.flatnonzero(out[a]), a.copy()
+    order = loose[np.argsort(-lengths[loose] * rng.uniform(0.8, 1.2, len(loose)))] if rng.random() < 0.5 else rng.permutation(loose)
+    best_fit({int(k): capacity - int(fill[k]) for k in used[~out[used]]}, order, lengths, child, capacity)
     return np.unique(child, return_inverse=True)[1]
 
 
@@ -115,7 +138,10 @@ def found(lengths: np.ndarray, capacity: int, size: int, rng: np.random.Generato
 
 
 def done(assign: np.ndarray, lengths: np.ndarray, capacity: int) -> bool:
-    return len(np.unique(assign)) <= -(-int(lengths.sum()) // capacity)
+    """Whether no assignment is fitter: full bins and one for the rest."""
+    full, rest = divmod(int(lengths.sum()), capacity)
+    best = (full + (rest / capacity) ** 2) / (full + (rest > 0)) if full + rest else 1.0
+    return fitness(assign, lengths, capacity) >= best - 1e-12
 
 
 def evolve(people: list[np.ndarray], lengths: np.ndarray, capacity: int, offspring: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -157,6 +183,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITE
     of length 0 with bin_id null. Null ids are packed like others. An empty table gives an empty
     result; other columns aren't looked at. Runs with the same rows give the same bins.
     """
+    spark = docs.sparkSession
     counted = _shared.materialize(token_counts(docs, tokenizer).groupBy("doc_id", "tokens").agg(F.count("*").alias("n")), "sized")
     total = counted.agg(F.sum(F.when(F.col("tokens") % capacity > 0, F.col("n")))).first()[0] or 0
     shards = max(1, -(-total // shard_items))
@@ -190,9 +217,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITE
 
         return run
 
-    state = rest.select("shard", "length").groupBy("shard").applyInArrow(start, _STATE)
+    state, before = rest.select("shard", "length").groupBy("shard").applyInArrow(start, _STATE), []
+    # rows are small and their work is long, so tasks are set by the number of islands, not by bytes
+    tasks = min(shards * islands, max(spark.sparkContext.defaultParallelism * 4, shards * islands // ISLANDS_PER_TASK))
     for turn in range(epochs):
-        state = _shared.materialize(state.groupBy("shard", "island").applyInArrow(epoch(turn), _STATE), "epoch")
+        state = _shared.materialize(state.repartition(tasks, "shard", "island").groupBy("shard", "island").applyInArrow(epoch(turn), _STATE), "epoch")
+        _shared.release(*before)
+        before = [state]
 
     def unfold(best: pa.Table) -> pa.Table:
         fit, people = best.column("fitness").to_numpy(), best.column("people").to_pylist()

@@ -122,6 +122,44 @@ def test_token_counts_are_the_tokenizers(spark, awkward, awkward_rows):
     _check(packing.pack(awkward, capacity=500).collect(), want, 500)
 
 
+def test_long_white_space_is_counted_as_the_tokenizer_would(spark, monkeypatch):
+    import base64
+    import re
+
+    import tiktoken
+
+    with open(packing.TOKENIZER, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("t", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(1, " " * 5_000_000), (2, "\n" * 5_000_000), (3, "a" + " " * 3_000_000 + "b c"), (4, "x" * 1_000_000), (5, "a  b")]
+    got = {r.doc_id: r.tokens for r in packing.token_counts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    one = len(encoding._encode_single_piece(" " * 2_999_999))
+    assert got[1] == len(encoding._encode_single_piece(" " * 5_000_000)) and got[3] == 1 + one + 2 and got[5] == len(encoding.encode_ordinary("a  b"))
+    assert got[2] == len(encoding._encode_single_piece("\n" * 5_000_000))
+    # with a short limit the same cuts can be held against the tokenizer itself
+    monkeypatch.setattr(packing, "_BLANKS", re.compile(packing._BLANKS.pattern.replace(str(packing.LONG_BLANK), "2")))
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choices([" ", " ", "\n", "\t", "\u3000", "\xa0", "\x85", "\x1c", "a", "1", "!", "'s", "é", "漢"], k=rng.randrange(1, 14)))
+        assert packing.count_tokens(encoding, text) == len(encoding.encode_ordinary(text))
+
+
+def test_the_search_betters_best_fit_decreasing(spark):
+    """Lengths that best fit decreasing packs badly: islands must find fuller bins, and validly."""
+    rng = random.Random(7)
+    # triples of exactly 100 words, in random order
+    sizes = [x for a, b in ((rng.randrange(26, 45), rng.randrange(26, 30)) for _ in range(60)) for x in (a, b, 100 - a - b)]
+    docs = spark.createDataFrame([(i, words(rng, n)) for i, n in enumerate(sizes)], "doc_id bigint, text string")
+    got = packing.pack(docs, capacity=100, shard_items=1000, tokenizer=None).collect()
+    fill = _check(got, Counter(dict(enumerate(sizes))), 100)
+    lengths = np.sort(np.array(sizes))[::-1].astype(np.int64)
+    start = np.zeros(len(lengths), np.int64)
+    packing.best_fit({}, np.arange(len(lengths)), lengths, start, 100)
+    found = np.mean([(x / 100) ** 2 for x in fill.values()])
+    assert found > packing.fitness(start, lengths, 100) and len(fill) <= len(np.unique(start))
+    assert not packing.done(start, lengths, 100) and packing.done(np.repeat(np.arange(60), 3), np.array(sizes), 100)
+
+
 def test_crossover_keeps_every_item_once():
     rng = np.random.default_rng(4)
     lengths = np.sort(rng.integers(1, 60, 200))[::-1].astype(np.int64)
