@@ -17,8 +17,17 @@ SAMPLE, MAX_ITERATIONS, TOLERANCE = 100_000, 100, 1e-4
 
 
 def sample_vectors(vectors: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Exactly n vectors (or all), the same for the same seed: those of least hash of vec_id, a multiplicative one that SQL has too."""
-    h = (F.col("vec_id") * 2654435761 + seed) % 4294967296
+    """Exactly n vectors (or all), the same for the same seed: those of least hash of vec_id, a multiplicative one that SQL has too.
+
+    Rows above a hash that twice as many lie under on average are left out first, so that what one task orders
+    doesn't grow with the number of tasks. Null ids are left out.
+    """
+    vectors = vectors.where("vec_id is not null")
+    h, total = (F.col("vec_id") * 2654435761 + seed) % 4294967296, vectors.count()
+    if total > 4 * (n + 1000):
+        some = vectors.where(h < int(4294967296 * (2 * n + 1000) / total))
+        if some.count() >= n:
+            vectors = some
     return vectors.orderBy(h, "vec_id").limit(n)
 
 
@@ -49,7 +58,7 @@ def cluster_sums(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
         ids = np.arange(len(c))
         n, s, inertia = np.zeros(len(c), np.int64), np.zeros((len(c), dim)), np.zeros(len(c))
         for b in batches:
-            x = kernels.matrix(b.column(0), dim)
+            x, _ = kernels.usable(b.column(0), dim)
             r, cid, d = kernels.nearest(x, c, ids, 1)
             n += np.bincount(cid, minlength=len(c))
             inertia += np.bincount(cid, weights=d, minlength=len(c))
@@ -57,7 +66,7 @@ def cluster_sums(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(list(s[some]), pa.list_(pa.float64())), pa.array(inertia[some])], ["cid", "n", "s", "inertia"])
 
-    parts = vectors.select(distance.doubles("embedding")).mapInArrow(run, "cid int, n bigint, s array<double>, inertia double")
+    parts = vectors.select("embedding").mapInArrow(run, "cid int, n bigint, s array<double>, inertia double")
     return parts.groupBy("cid").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(dim)]).alias("s"), F.sum("inertia").alias("inertia"))
 
 
@@ -83,8 +92,9 @@ def lloyd(vectors: DataFrame, centers: np.ndarray, iterations: int = MAX_ITERATI
 def kmeans(vectors: DataFrame, k: int, sample: int = SAMPLE, restarts: int = 1, seed: int = 42, iterations: int = MAX_ITERATIONS) -> DataFrame:
     """(cid, cv, cnt): the best of several runs by inertia. Counts start at 0, so a centroid's first member replaces it."""
     some = sample_vectors(vectors, sample, seed)
-    rows = some.select(distance.doubles("embedding").alias("v")).toArrow().column("v")
-    x = kernels.matrix(rows, len(rows[0]))
+    x = nearest.Table(some, "vec_id", "embedding", sample).vectors
+    if not len(x):
+        raise ValueError("no vectors to cluster")
     best, least = None, np.inf
     for run in range(max(1, restarts)):
         start = seed_plus_plus(x, k, np.random.default_rng(seed + run))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 import numpy as np
@@ -91,12 +92,16 @@ def drift(new: DataFrame, old: DataFrame, blocks: int) -> DataFrame:
     return out.withColumn("phi", F.when(F.col("total") > 0, F.col("moved") / F.col("total")).otherwise(0.0))
 
 
-def partition(centers: DataFrame, blocks: int, degree: int = DEGREE, weighted: bool = False, seed: int = 0) -> DataFrame:
-    """(cid, pid): balanced blocks of the centroids' graph. weighted: by inverse distance and counts."""
+def partition(centers: DataFrame, blocks: int, degree: int = DEGREE, weighted: bool = False, seed: int = 0, timings: dict | None = None) -> DataFrame:
+    """(cid, pid): balanced blocks of the centroids' graph. weighted: by inverse distance and counts. timings: gets the seconds of both phases."""
+    began = time.perf_counter()
     edges = knn_graph(centers, min(degree, max(centers.count() - 1, 1)))
     graph = edge_weights(base_layer_edges(centers, edges)) if weighted else symmetrize(edges).where("src < dst").withColumn("weight", F.lit(1))
     rows, nodes = graph.toPandas().sort_values(["src", "dst"]), centers.select("cid", "cnt").toPandas().sort_values("cid")  # centroids: at most some 10,000
     at = {c: i for i, c in enumerate(nodes["cid"])}
     src, dst = (rows[c].map(at).to_numpy(np.int64) for c in ("src", "dst"))
+    made = time.perf_counter()
     block = partitioner.partition(len(nodes), src, dst, blocks, seed, rows["weight"].to_numpy(float), np.maximum(nodes["cnt"].to_numpy(), 1) if weighted else None)
+    if timings is not None:
+        timings |= {"graph_s": made - began, "partition_s": time.perf_counter() - made}
     return centers.sparkSession.createDataFrame(list(zip(map(int, nodes["cid"]), map(int, block), strict=True)), "cid int, pid int")

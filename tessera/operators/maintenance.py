@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +16,13 @@ NONE, FULL, PARTIAL = 0, 1, 2
 
 @dataclass
 class Repartition:
-    """A new partition under matching labels, and how many centroids it moves."""
+    """A new partition under matching labels, how many centroids it moves and the members that these count, and seconds by phase."""
 
     parts: DataFrame
     moved: int
     total: int
+    elements: int = 0
+    timings: dict = field(default_factory=dict)
 
     @property
     def phi(self) -> float:
@@ -28,9 +31,14 @@ class Repartition:
 
 def repartition(live: DataFrame, old: DataFrame, blocks: int, seed: int = 0, weighted: bool = False, degree: int = graph.DEGREE) -> Repartition:
     """Graph of the live centroids, its partition, matched with the old one."""
-    named = graph.relabeled(graph.partition(live, blocks, degree, weighted, seed), old, blocks).collect()  # centroids
+    timings: dict[str, float] = {}
+    made = graph.partition(live, blocks, degree, weighted, seed, timings)
+    began = time.perf_counter()
+    named = graph.relabeled(made, old, blocks).join(F.broadcast(live.select("cid", "cnt")), "cid").collect()  # centroids
+    timings["relabel_s"] = time.perf_counter() - began
     parts = live.sparkSession.createDataFrame([(r.cid, r.pid) for r in named], "cid int, pid int")
-    return Repartition(parts, sum(r.pid != r.old_pid for r in named), len(named))
+    gone = [r for r in named if r.pid != r.old_pid]
+    return Repartition(parts, len(gone), len(named), sum(r.cnt or 0 for r in gone), timings)
 
 
 def need_rebuild(moved: int, full: int, partial: int, n_centers: int) -> int:
@@ -67,6 +75,12 @@ def rebuild_full(index: DataFrame, router: DataFrame) -> DataFrame:
     return placed.select("vec_id", "embedding", F.col("first_cid").alias("cid"), "pid", "deleted")
 
 
+def rebuild_moves(index: DataFrame, router: DataFrame) -> DataFrame:
+    """(vec_id, embedding, cid, pid, from_pid): the live vectors with the shard that the router gives them and the one where they are."""
+    live = index.where(~F.col("deleted")).select("vec_id", "embedding", F.col("cid").alias("first_cid"), F.col("pid").alias("from_pid"))
+    return routing.place(live, router, ("embedding", "first_cid", "from_pid")).select("vec_id", "embedding", F.col("first_cid").alias("cid"), "pid", "from_pid")
+
+
 def delta_movers(index: DataFrame, router: DataFrame) -> DataFrame:
     """(vec_id, from_pid, to_pid) of the live vectors that change shard."""
     live = index.where(~F.col("deleted")).select("vec_id", "embedding", F.col("pid").alias("from_pid"))

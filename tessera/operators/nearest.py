@@ -6,99 +6,127 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions import distance, kernels
+from tessera.functions import kernels
 
 #: Rows of a centroid or query table that are sent to every task at most; more queries go in several passes.
 MAX_CENTERS, QUERY_SLICE = 200_000, 8192
 
 
+class TooMany(ValueError):
+    """A table that goes to every task is too large."""
+
+
 class Table:
-    """Ids and vectors of a small table, on the driver; its size is checked."""
+    """Ids and vectors of a small table, on the driver; its size is checked. Rows without id or usable vector are left out; dimensions must agree."""
 
-    def __init__(self, df: DataFrame, id_: str, vector: str, most: int):
-        got = df.select(F.col(id_).cast("bigint").alias("id"), distance.doubles(vector).alias("v")).limit(most + 1).toArrow()
+    def __init__(self, df: DataFrame, id_: str, vector: str, most: int, also: str | None = None):
+        got = df.select(F.col(id_).cast("bigint").alias("id"), F.col(vector).alias("v"), *([F.col(also).alias("also")] if also else [])).where("id is not null").limit(most + 1).toArrow()
         if got.num_rows > most:
-            raise ValueError(f"more than {most} rows in a table that goes to every task")
-        self.ids = got.column("id").to_numpy()
-        self.dim = len(got.column("v")[0]) if got.num_rows else 1
-        self.vectors = kernels.matrix(got.column("v"), self.dim)
+            raise TooMany(f"more than {most} rows in a table that goes to every task")
+        sizes = np.unique([n for n in pc.list_value_length(got.column("v")).to_pylist() if n])
+        if len(sizes) > 1:
+            raise ValueError(f"vectors of dimensions {', '.join(map(str, sizes))} in one table")
+        self.dim = int(sizes[0]) if len(sizes) else 1
+        self.vectors, rows = kernels.usable(got.column("v"), self.dim)
+        self.ids = got.column("id").to_numpy()[rows]
         order = np.argsort(self.ids, kind="stable")
         self.ids, self.vectors = self.ids[order], self.vectors[order]
+        self.also = got.column("also").to_numpy()[rows][order] if also else None
+
 
+def closest_centers(queries: DataFrame, centers: DataFrame, n: int, id_: str = "qid", vector: str = "qv", keep: tuple[str, ...] = (), shard: bool = False) -> DataFrame:
+    """(id, rn, cid, d) and the columns to keep: the n nearest centroids of each query, nearest first; ties go to the lesser cid.
 
-def closest_centers(queries: DataFrame, centers: DataFrame, n: int, id_: str = "qid", vector: str = "qv", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, rn, cid, d) and the columns to keep: the n nearest centroids of each query, nearest first; ties go to the lesser cid."""
-    table = Table(centers, "cid", "cv", MAX_CENTERS)
-    shared = queries.sparkSession.sparkContext.broadcast((table.ids, table.vectors))
+    shard: with the centroid's pid besides. Queries without a usable vector (null, with a null, NaN or infinite
+    element, of another dimension) have no rows.
+    """
+    table = Table(centers, "cid", "cv", MAX_CENTERS, "pid" if shard else None)
+    shared = queries.sparkSession.sparkContext.broadcast((table.ids, table.vectors, table.also))
     dim = table.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = shared.value
+        ids, x, pid = shared.value
         for b in batches:
-            r, c, d = kernels.nearest(kernels.matrix(b.column(1), dim), x, ids, n)
+            q, rows = kernels.usable(b.column(1), dim)
+            r, c, d = kernels.nearest(q, x, ids, n)
             rn = np.arange(len(r)) - np.searchsorted(r, r) + 1
-            kept = [b.column(2 + k).take(pa.array(r)) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(rn.astype(np.int32)), pa.array(ids[c].astype(np.int32)), pa.array(d), *kept], [id_, "rn", "cid", "d", *keep])
+            at = pa.array(rows[r])
+            kept = [b.column(2 + k).take(at) for k in range(len(keep))]
+            shards = [pa.array(pid[c].astype(np.int32))] if shard else []
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(rn.astype(np.int32)), pa.array(ids[c].astype(np.int32)), pa.array(d), *shards, *kept], [id_, "rn", "cid", "d", *(["pid"] if shard else []), *keep])
 
-    rows = queries.select(F.col(id_).cast("bigint").alias(id_), distance.doubles(vector).alias("_v"), *keep)
+    # elements are widened to doubles in the kernel, not before
+    rows = queries.select(F.col(id_).cast("bigint").alias(id_), F.col(vector).alias("_v"), *keep)
     schema = T.StructType().add(id_, T.LongType()).add("rn", T.IntegerType()).add("cid", T.IntegerType()).add("d", T.DoubleType())
+    if shard:
+        schema.add("pid", T.IntegerType())
     for name in keep:
         schema.add(rows.schema[name])
     return rows.mapInArrow(run, schema)
 
 
-def assign(vectors: DataFrame, centers: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(vec_id, cid, d) and the columns to keep: the nearest centroid of each vector."""
-    return closest_centers(vectors, centers, 1, "vec_id", "embedding", keep).drop("rn")
+def assign(vectors: DataFrame, centers: DataFrame, keep: tuple[str, ...] = (), shard: bool = False) -> DataFrame:
+    """(vec_id, cid, d), maybe pid, and the columns to keep: the nearest centroid of each usable vector."""
+    return closest_centers(vectors, centers, 1, "vec_id", "embedding", keep, shard).drop("rn")
 
 
-def first_by_shard(queries: DataFrame, router: DataFrame) -> DataFrame:
-    """(qid, pid, rn): each shard's nearest centroid, by its place among all centroids of the query; a row for each shard, not centroid."""
-    table = Table(router, "cid", "cv", MAX_CENTERS)
-    shard = {r.cid: r.pid for r in router.select("cid", "pid").collect()}  # as many rows as the table
-    shared = queries.sparkSession.sparkContext.broadcast((table.ids, table.vectors, np.array([shard[c] for c in table.ids.tolist()], np.int32)))
-    dim = table.dim
+def first_by_shard(queries: DataFrame, router: DataFrame, shards: int, depth: int = 0) -> DataFrame:
+    """(qid, pid, rn): the nearest centroid of each of the nearest `shards` shards (and maybe of more), by its place among all centroids of the query.
+
+    Starts from 10 times as many centroids as shards, depth at least, and from 10 times more for those
+    queries that haven't met enough shards. Shards that aren't given have no centroid among the depth nearest.
+    """
+    table = Table(router, "cid", "cv", MAX_CENTERS, "pid")
+    shared = queries.sparkSession.sparkContext.broadcast((table.ids, table.vectors, table.also.astype(np.int32)))
+    dim, wanted = table.dim, min(shards, len(set(table.also.tolist())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x, pid = shared.value
+        width = int(pid.max(initial=0)) + 1
         for b in batches:
-            q = kernels.matrix(b.column(1), dim)
-            step = max(1, 2_000_000 // len(ids))
-            for i in range(0, len(q), step):
-                r, c, _ = kernels.nearest(q[i : i + step], x, ids, len(ids))
+            q, rows = kernels.usable(b.column(1), dim)
+            n, todo = min(len(ids), max(10 * shards, depth)), np.arange(len(q))
+            while len(todo) and len(ids):
+                r, c, _ = kernels.nearest(q[todo], x, ids, n)
                 rn = np.arange(len(r)) - np.searchsorted(r, r) + 1
-                first = np.unique(r * (int(pid.max()) + 1) + pid[c], return_index=True)[1]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r[first] + i)), pa.array(pid[c[first]]), pa.array(rn[first].astype(np.int32))], ["qid", "pid", "rn"])
+                first = np.unique(r * width + pid[c], return_index=True)[1]
+                done = (np.bincount(r[first], minlength=len(todo)) >= wanted) | (n == len(ids))
+                first = first[done[r[first]]]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[todo[r[first]]])), pa.array(pid[c[first]]), pa.array(rn[first].astype(np.int32))], ["qid", "pid", "rn"])
+                todo, n = todo[~done], min(len(ids), 10 * n)
 
-    return queries.select(F.col("qid").cast("bigint").alias("qid"), distance.doubles("qv").alias("v")).mapInArrow(run, "qid bigint, pid int, rn int")
+    return queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("qv").alias("v")).mapInArrow(run, "qid bigint, pid int, rn int")
 
 
-def _slices(queries: DataFrame) -> list[DataFrame]:
-    """Queries in parts that may go to every task. A pass over the vectors for each part costs less than its distances."""
-    n = -(-queries.count() // QUERY_SLICE)
-    if n <= 1:
-        return [queries]
-    n += 1  # parts by hash are uneven
-    return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k) for k in range(n)]
+def _slices(queries: DataFrame) -> list[Table]:
+    """Queries in tables that may go to every task. A pass over the vectors for each costs less than its distances."""
+    try:
+        return [Table(queries, "qid", "qv", QUERY_SLICE)]
+    except TooMany:
+        n = -(-queries.count() // QUERY_SLICE) + 1  # parts by hash are uneven
+        return [Table(queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k), "qid", "qv", 2 * QUERY_SLICE) for k in range(n)]
 
 
 def scan_topk(vectors: DataFrame, queries: DataFrame, k: int, routes: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:
-    """(qid, vec_id, d): candidates from one pass over vectors; of each task at least its k best for each query.
+    """(qid, vec_id, d), and pid with routes: candidates from one pass over vectors, of each task its k best for each query (and shard).
 
-    routes (qid, pid) restricts a query to shards; vectors then need pid, and other shards aren't read.
+    A task keeps its k best over all its batches and gives them at its end. routes (qid, pid) restricts a
+    query to shards; vectors then need pid, and other shards aren't read. Vectors and queries that can't be
+    worked with (`kernels.usable`) are passed over.
     """
     out = None
     spark = queries.sparkSession
-    for part in _slices(queries):
-        table = Table(part, "qid", "qv", 2 * QUERY_SLICE)
+    for table in _slices(queries):
         ask: dict[int, np.ndarray] = {}
         source, columns = vectors, ["vec_id", "embedding"]
         if routes is not None:
-            pairs = routes.select("qid", "pid").join(F.broadcast(part.select("qid")), "qid", "left_semi").distinct().toArrow()
+            mine = spark.createDataFrame([(q,) for q in table.ids.tolist()], "qid bigint")
+            pairs = routes.select("qid", "pid").join(F.broadcast(mine), "qid", "left_semi").distinct().toArrow()
             at, pid = np.searchsorted(table.ids, pairs.column("qid").to_numpy()), pairs.column("pid").to_numpy()
             ask = {int(p): np.sort(at[pid == p]) for p in np.unique(pid)}
             source, columns = vectors.where(F.col("pid").isin(sorted(ask))), [*columns, "pid"]
@@ -107,23 +135,30 @@ def scan_topk(vectors: DataFrame, queries: DataFrame, k: int, routes: DataFrame
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
             qids, q, ask = shared.value
+            best: dict[int | None, kernels.Best] = {}
             for b in batches:
-                ids, x = b.column(0).to_numpy(), kernels.matrix(b.column(1), dim)
-                pid = b.column(2).to_numpy() if b.num_columns > 2 else None
-                for p, rows in ask.items() if pid is not None else ((None, np.arange(len(qids))),):
-                    mine = np.flatnonzero(pid == p) if pid is not None else np.arange(len(ids))
-                    r, c, d = kernels.nearest(q[rows], x[mine], ids[mine], k, qids[rows] if exclude_self else None)
-                    if len(r):
-                        yield pa.RecordBatch.from_arrays([pa.array(qids[rows][r]), pa.array(ids[mine][c]), pa.array(d)], ["qid", "vec_id", "d"])
-
-        found = source.select(*columns[:1], distance.doubles("embedding").alias("embedding"), *columns[2:]).mapInArrow(run, "qid bigint, vec_id bigint, d double")
+                x, rows = kernels.usable(b.column(1), dim)
+                ids = b.column(0).to_numpy(zero_copy_only=False)[rows]
+                pid = b.column(2).to_numpy()[rows] if b.num_columns > 2 else None
+                for p in [None] if pid is None else np.unique(pid).tolist():
+                    some = slice(None) if p is None else pid == p
+                    if p not in best:
+                        asked = slice(None) if p is None else ask[p]
+                        best[p] = kernels.Best(q[asked], qids[asked] if exclude_self else None, k)
+                    best[p].add(x[some], ids[some])
+            for p, found in best.items():
+                r, ids, d = found.rows()
+                names = qids if p is None else qids[ask[p]]
+                yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(ids), pa.array(d), *([] if p is None else [pa.array(np.full(len(r), p, np.int32))])], ["qid", "vec_id", "d", *([] if p is None else ["pid"])])
+
+        found = source.select(*columns).where("vec_id is not null").mapInArrow(run, "qid bigint, vec_id bigint, d double" + (", pid int" if routes is not None else ""))
         out = found if out is None else out.unionAll(found)
     return out
 
 
 def topk(candidates: DataFrame, k: int) -> DataFrame:
-    """(qid, rank, vec_id, d): the k nearest of each query; an id counts once; ties go to the lesser id."""
-    once = candidates.groupBy("qid", "vec_id").agg(F.min("d").alias("d"))
+    """(qid, rank, vec_id, d): the k nearest of each query; an id counts once; ties go to the lesser id. One shuffle, by query."""
+    once = candidates.repartition("qid").groupBy("qid", "vec_id").agg(F.min("d").alias("d"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("d", "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "d")
 
@@ -133,17 +168,46 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | No
     return topk(scan_topk(vectors if where is None else vectors.where(where), queries, k, exclude_self=exclude_self), k)
 
 
-def epsilon_search(vectors: DataFrame, queries: DataFrame, eps: float, dim: int | None = None) -> DataFrame:
-    """(qid, vec_id, d): all vectors within the squared distance eps, but the query itself."""
-    d = distance.l2sq(F.col("qv"), F.col("v"), dim)
-    pairs = vectors.select("vec_id", distance.doubles("embedding").alias("v")).crossJoin(F.broadcast(queries)).where("qid <> vec_id")
-    return pairs.withColumn("d", d).where(F.col("d") <= eps).select("qid", "vec_id", "d")
+def epsilon_search(vectors: DataFrame, queries: DataFrame, eps: float) -> DataFrame:
+    """(qid, vec_id, d): all usable vectors within the squared distance eps, but the query itself."""
+    out = None
+    for table in _slices(queries):
+        shared, dim = queries.sparkSession.sparkContext.broadcast((table.ids, table.vectors)), table.dim
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
+            qids, q = shared.value
+            for b in batches:
+                x, rows = kernels.usable(b.column(1), dim)
+                ids = b.column(0).to_numpy(zero_copy_only=False)[rows]
+                r, c, d = kernels.within(q, x, eps)
+                other = qids[r] != ids[c]
+                yield pa.RecordBatch.from_arrays([pa.array(qids[r][other]), pa.array(ids[c][other]), pa.array(d[other])], ["qid", "vec_id", "d"])
+
+        found = vectors.select("vec_id", "embedding").where("vec_id is not null").mapInArrow(run, "qid bigint, vec_id bigint, d double")
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def multivector_search(vectors: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(qid, rank, doc, d): the k documents with the nearest vector each; docs: (vec_id, doc)."""
-    d = distance.l2sq(F.col("qv"), F.col("v"))
-    pairs = vectors.select("vec_id", distance.doubles("embedding").alias("v")).join(docs, "vec_id").crossJoin(F.broadcast(queries)).where("qid <> vec_id")
-    best = pairs.groupBy("qid", "doc").agg(F.min(d).alias("d"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("d", "doc"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "doc", "d")
+    """(qid, rank, doc, d): the k documents with the nearest usable vector each; docs: (vec_id, doc).
+
+    A task gives its k nearest documents of each query: one of the k nearest of all is among those of the
+    task that holds its nearest vector.
+    """
+    out = None
+    rows_ = vectors.select("vec_id", "embedding").join(docs.select("vec_id", F.col("doc").cast("bigint").alias("doc")).where("doc is not null"), "vec_id")
+    for table in _slices(queries):
+        shared, dim = queries.sparkSession.sparkContext.broadcast((table.ids, table.vectors)), table.dim
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
+            qids, q = shared.value
+            best = kernels.Best(q, qids, k)
+            for b in batches:
+                x, rows = kernels.usable(b.column(1), dim)
+                best.add_grouped(x, b.column(0).to_numpy()[rows], b.column(2).to_numpy()[rows])
+            r, doc, d = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(doc), pa.array(d)], ["qid", "vec_id", "d"])
+
+        found = rows_.mapInArrow(run, "qid bigint, vec_id bigint, d double")
+        out = found if out is None else out.unionAll(found)
+    return topk(out, k).withColumnRenamed("vec_id", "doc")

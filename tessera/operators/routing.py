@@ -16,7 +16,7 @@ RT_CENTERS, KL_NEIGHBORS = 50, 3
 
 def _ranked(queries: DataFrame, router: DataFrame, n: int) -> DataFrame:
     """(qid, rn, cid, d, pid)"""
-    return nearest.closest_centers(queries, router, n).join(F.broadcast(router.select("cid", "pid")), "cid")
+    return nearest.closest_centers(queries, router, n, shard=True)
 
 
 def first_seen(ranked: DataFrame) -> DataFrame:
@@ -35,27 +35,39 @@ def branching_factor(queries: DataFrame, router: DataFrame, b: int) -> DataFrame
 
 def nprobe(queries: DataFrame, router: DataFrame, p: int) -> DataFrame:
     """(qid, pid, ord): the first p distinct shards met from near to far."""
-    return _in_order(nearest.first_by_shard(queries, router)).where(F.col("ord") <= p)
+    return _in_order(nearest.first_by_shard(queries, router, p)).where(F.col("ord") <= p)
 
 
-def _until(scored: DataFrame, target: float) -> DataFrame:
-    """(qid, pid, ord, prob): shards by falling probability until their sum reaches the target, that one included."""
-    target = min(max(target, 0.0), 1.0)
+def _summed(scored: DataFrame) -> DataFrame:
+    """scored (qid, pid, prob) with ord, by falling probability, and before, the sum of those before."""
     w = Window.partitionBy("qid").orderBy(F.desc("prob"), "pid")
     before = F.coalesce(F.sum("prob").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    out = scored.withColumn("before", before).withColumn("ord", F.row_number().over(w))
+    return scored.withColumn("before", before).withColumn("ord", F.row_number().over(w))
+
+
+def _reached(summed: DataFrame, target) -> DataFrame:
     # the first shard is always visited
-    return out.where((F.col("ord") == 1) | ((F.col("before") < target) & (F.col("prob") > 0))).select("qid", "pid", "ord", "prob")
+    return summed.where((F.col("ord") == 1) | ((F.col("before") < target) & (F.col("prob") > 0)))
 
 
-def recall_target(queries: DataFrame, router: DataFrame, target: float, centers: int = RT_CENTERS) -> DataFrame:
-    """(qid, pid, ord, prob): shards weighted by centroids times exp(-d / d of the nearest), summed over the nearest centroids."""
+def _until(scored: DataFrame, target: float) -> DataFrame:
+    """(qid, pid, ord, prob): shards by falling probability until their sum reaches the target, that one included."""
+    return _reached(_summed(scored), min(max(target, 0.0), 1.0)).select("qid", "pid", "ord", "prob")
+
+
+def _shard_probabilities(queries: DataFrame, router: DataFrame, centers: int = RT_CENTERS) -> DataFrame:
+    """(qid, pid, prob): shards weighted by centroids times exp(-d / d of the nearest), summed over the nearest centroids."""
     sizes = F.broadcast(router.groupBy("pid").agg(F.count("*").alias("size")))
     ranked = _ranked(queries, router, centers).join(sizes, "pid")
     d0 = F.min("d").over(Window.partitionBy("qid"))
     scored = ranked.withColumn("s", F.col("size") * F.exp(-F.col("d") / (d0 + 1e-10))).groupBy("qid", "pid").agg(F.sum("s").alias("score"))
     whole = F.sum("score").over(Window.partitionBy("qid"))
-    return _until(scored.withColumn("prob", F.when(whole > 0, F.col("score") / whole).otherwise(0.0)), target)
+    return scored.select("qid", "pid", F.when(whole > 0, F.col("score") / whole).otherwise(0.0).alias("prob"))
+
+
+def recall_target(queries: DataFrame, router: DataFrame, target: float, centers: int = RT_CENTERS) -> DataFrame:
+    """(qid, pid, ord, prob): the likeliest shards until their probabilities reach the target."""
+    return _until(_shard_probabilities(queries, router, centers), target)
 
 
 def recall_target_extended(queries: DataFrame, router: DataFrame, target: float, dim: int, centers: int = RT_CENTERS, neighbors: int = KL_NEIGHBORS) -> DataFrame:
@@ -88,18 +100,22 @@ STATIC_GRID = {"BranchingFactor": [1, 2, *range(5, 31, 5), 40, 60, 80, 100], "NP
 DYNAMIC_GRID = {"BranchingFactor": [*range(20, 31, 5), *range(40, 61, 10), 80], "NProbe": [*range(1, 10)], "RecallTarget": [x / 100 for x in (85, 90, 95, 97, 98, 99)]}
 
 
-def sweep(queries: DataFrame, router: DataFrame, bs: list[int], ps: list[int]) -> DataFrame:
-    """(mode, param, qid, pid) for several parameters at once: one pass over centroids serves them all."""
-    once = nearest.first_by_shard(queries, router).withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy("rn")))
-    grid = [F.struct(F.lit("BranchingFactor").alias("mode"), F.lit(b).alias("param"), (F.col("rn") <= b).alias("in")) for b in bs]
-    grid += [F.struct(F.lit("NProbe").alias("mode"), F.lit(p).alias("param"), (F.col("ord") <= p).alias("in")) for p in ps]
-    return once.select("qid", "pid", F.explode(F.array(*grid)).alias("g")).where("g.in").select("g.mode", "g.param", "qid", "pid")
+def sweep(queries: DataFrame, router: DataFrame, bs: list[int], ps: list[int], targets: list[float] = ()) -> DataFrame:
+    """(mode, param, qid, pid) for several parameters at once: one pass over centroids serves each kind of mode."""
+    once = nearest.first_by_shard(queries, router, max(ps, default=1), max(bs, default=1)).withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy("rn")))
+    grid = [F.struct(F.lit("BranchingFactor").alias("mode"), F.lit(float(b)).alias("param"), (F.col("rn") <= b).alias("in")) for b in bs]
+    grid += [F.struct(F.lit("NProbe").alias("mode"), F.lit(float(p)).alias("param"), (F.col("ord") <= p).alias("in")) for p in ps]
+    out = once.select("qid", "pid", F.explode(F.array(*grid)).alias("g")).where("g.in").select("g.mode", "g.param", "qid", "pid")
+    if targets:
+        scored = _summed(_shard_probabilities(queries, router))
+        wanted = F.explode(F.array(*[F.lit(float(t)) for t in targets])).alias("param")
+        out = out.unionAll(_reached(scored.select("*", wanted), F.least(F.greatest("param", F.lit(0.0)), F.lit(1.0))).select(F.lit("RecallTarget").alias("mode"), "param", "qid", "pid"))
+    return out
 
 
 def place(vectors: DataFrame, router: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(vec_id, cid, pid) and the columns to keep: the shard of each vector's nearest centroid. One pass, no shuffle."""
-    # the router's size is checked by assign
-    return nearest.assign(vectors, router, keep).join(F.broadcast(router.select("cid", "pid")), "cid").select("vec_id", "cid", "pid", *keep)
+    """(vec_id, cid, pid) and the columns to keep: the shard of each usable vector's nearest centroid. One pass, no shuffle, no join."""
+    return nearest.assign(vectors, router, keep, shard=True).select("vec_id", "cid", "pid", *keep)
 
 
 def placement_of(ids: DataFrame, placed: DataFrame) -> DataFrame:
@@ -115,6 +131,6 @@ def search(placed: DataFrame, queries: DataFrame, routes: DataFrame, k: int, exc
 
 def local_topk(placed: DataFrame, queries: DataFrame, routes: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """(qid, pid, rank, vec_id, d): the k nearest within each shard visited."""
-    found = nearest.scan_topk(placed, queries, k, routes, exclude_self).join(placed.select("vec_id", "pid"), "vec_id")
+    found = nearest.scan_topk(placed, queries, k, routes, exclude_self)
     rank = F.row_number().over(Window.partitionBy("qid", "pid").orderBy("d", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "pid", "rank", "vec_id", "d")

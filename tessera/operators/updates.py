@@ -32,9 +32,18 @@ def centers_after_delete(centers: DataFrame, rows: DataFrame, dim: int) -> DataF
     return joined.select("cid", F.when(F.col("cnt") > F.col("k"), mean).otherwise(F.col("cv")).alias("cv"), F.greatest(F.col("cnt") - F.coalesce("k", F.lit(0)), F.lit(0)).alias("cnt"))
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """rows with one row for each vec_id, the least of its rows. Only ids are shuffled where none is there twice."""
+    again = rows.groupBy("vec_id").count().where("count > 1").select("vec_id")
+    if again.isEmpty():
+        return rows
+    others = [c for c in rows.columns if c != "vec_id"]
+    return rows.groupBy("vec_id").agg(F.min(F.struct(*others)).alias("row")).select("vec_id", *[F.col(f"row.{c}").alias(c) for c in others]).select(*rows.columns)
+
+
 def insert_step(index: DataFrame, vectors: DataFrame, router: DataFrame) -> DataFrame:
-    """The index with new vectors, placed by the router's snapshot; an id that is there is replaced."""
-    new = routing.place(vectors, router, ("embedding",)).withColumn("deleted", F.lit(False))
+    """The index with new vectors, placed by the router's snapshot; an id that is there is replaced, of several new rows of one id the least counts."""
+    new = routing.place(once(vectors.select("vec_id", "embedding")), router, ("embedding",)).withColumn("deleted", F.lit(False))
     return index.join(new.select("vec_id"), "vec_id", "left_anti").select("vec_id", "embedding", "cid", "pid", "deleted").unionByName(new)
 
 
@@ -50,7 +59,8 @@ def unmark_deleted(index: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def upsert(vectors: DataFrame, new: DataFrame) -> DataFrame:
-    """vectors with the rows of new in place of those of the same id."""
+    """vectors with the rows of new in place of those of the same id; of several new rows of one id the least counts."""
+    new = once(new)
     return vectors.join(new.select("vec_id"), "vec_id", "left_anti").select(*vectors.columns).unionByName(new.select(*vectors.columns))
 
 
@@ -95,6 +105,12 @@ def scaled_queries(queries: DataFrame, scale: float) -> DataFrame:
     return many.join(F.broadcast(numbered), "k").select(F.col("id").alias("qid"), "source", (F.col("id") < n).alias("original"))
 
 
+def repeated_queries(queries: DataFrame, scale: float) -> DataFrame:
+    """(qid, qv): the queries as `scaled_queries` repeats them; the first round keeps its ids, others get ids below 0."""
+    many = scaled_queries(queries, scale)
+    return many.join(F.broadcast(queries.select(F.col("qid").alias("source"), "qv")), "source").select(F.when(F.col("original"), F.col("source")).otherwise(-1 - F.col("qid")).alias("qid"), "qv")
+
+
 def search_scale(steps: DataFrame, fraction: float, n_queries: int) -> DataFrame:
     """(updates, searches, scale): how many times the queries make searches this fraction of all operations."""
     if not 0 < fraction < 1:

@@ -116,7 +116,7 @@ CTES = {
     "steps": "SELECT * FROM (VALUES " + ", ".join(f"({s}, '{o}', {'NULL' if b is None else b}, {'NULL' if e is None else e})" for s, o, b, e in RUNBOOK) + ') t(step, operation, "start", "end")',
     "shards": f"SELECT CAST(range AS INTEGER) AS pid FROM range({BLOCKS})",
     "load": "SELECT pid, count(np.qid) AS n FROM shards LEFT JOIN np USING (pid) GROUP BY pid",
-    "sweep": "SELECT * FROM (SELECT 'BranchingFactor' AS mode, b AS param, qid, pid FROM once, (VALUES (1), (4), (16)) t(b) WHERE rn <= b UNION ALL SELECT 'NProbe', p, qid, pid FROM seen, (VALUES (1), (2), (3)) t(p) WHERE ord <= p)",
+    "sweep": "SELECT * FROM (SELECT 'BranchingFactor' AS mode, CAST(b AS DOUBLE) AS param, qid, pid FROM once, (VALUES (1), (4), (16)) t(b) WHERE rn <= b UNION ALL SELECT 'NProbe', p, qid, pid FROM seen, (VALUES (1), (2), (3)) t(p) WHERE ord <= p UNION ALL SELECT 'RecallTarget', t, qid, pid FROM rt_cum, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (1.0::DOUBLE)) g(t) WHERE ord = 1 OR (before < t AND prob > 0))",
     "shared_n": f"SELECT g.qid, s.pid, count(a.vec_id) AS n FROM (SELECT DISTINCT qid FROM gt) g CROSS JOIN shards s LEFT JOIN gt ON gt.qid = g.qid LEFT JOIN a ON a.vec_id = gt.vec_id AND a.pid = s.pid GROUP BY g.qid, s.pid",
     "shares": "SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY n DESC, pid) AS INTEGER) AS r, CAST(sum(n) OVER (PARTITION BY qid ORDER BY n DESC, pid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM shared_n",
 }
@@ -289,7 +289,7 @@ def filtered_knn(x: Fixtures) -> DataFrame:
 
 @query("SELECT qid, vec_id, round(d, 6) AS d FROM pairs WHERE d <= 1.6")
 def epsilon_search(x: Fixtures) -> DataFrame:
-    return _rounded(nearest.epsilon_search(x.vectors, x.queries, 1.6, DIM))
+    return _rounded(nearest.epsilon_search(x.vectors, x.queries, 1.6))
 
 
 @query(_ranked_sql("(SELECT qid, vec_id // 5 AS doc, min(d) AS d FROM pairs GROUP BY ALL) x", "doc"))
@@ -440,7 +440,7 @@ def route_recall_target_extended(x: Fixtures) -> DataFrame:
 
 @query("SELECT mode, param, qid, pid FROM sweep")
 def routing_sweep(x: Fixtures) -> DataFrame:
-    return routing.sweep(x.queries, x.router, [1, 4, 16], [1, 2, 3])
+    return routing.sweep(x.queries, x.router, [1, 4, 16], [1, 2, 3], [0.5, 0.9, 1.0])
 
 
 @query("SELECT vec_id, cid, pid FROM a WHERE vec_id BETWEEN 300 AND 399")
@@ -624,7 +624,7 @@ def load_skew(x: Fixtures) -> DataFrame:
 
 @query("WITH n AS (SELECT mode, param, s.pid, count(w.qid) AS n FROM (SELECT DISTINCT mode, param FROM sweep) m CROSS JOIN shards s LEFT JOIN sweep w USING (mode, param, pid) GROUP BY mode, param, s.pid), r AS (SELECT *, n / avg(n) OVER (PARTITION BY mode, param) AS multiple, row_number() OVER (PARTITION BY mode, param ORDER BY n DESC, pid) AS r FROM n) SELECT mode, pid, round(sum(multiple), 6) AS load, count(*) FILTER (r = 1) AS times_hottest FROM r GROUP BY mode, pid")
 def hot_shard_summary(x: Fixtures) -> DataFrame:
-    return metrics.hot_shard_summary(routing.sweep(x.queries, x.router, [1, 4, 16], [1, 2, 3]), BLOCKS).withColumn("load", r6("load"))
+    return metrics.hot_shard_summary(routing.sweep(x.queries, x.router, [1, 4, 16], [1, 2, 3], [0.5, 0.9, 1.0]), BLOCKS).withColumn("load", r6("load"))
 
 
 _SPREAD = "SELECT '{0}' AS measure, round(list_sort(list(x))[CAST(floor((count(*) - 1) * 0.05) AS BIGINT) + 1], 6) AS p5, round(list_sort(list(x))[CAST(floor((count(*) - 1) * 0.5) AS BIGINT) + 1], 6) AS p50, round(list_sort(list(x))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1], 6) AS p95, round(avg(x), 6) AS mean FROM (SELECT {1} AS x FROM s)"
