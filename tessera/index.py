@@ -109,6 +109,14 @@ class Index:
         index._commit()
         return index
 
+    @classmethod
+    def from_state(cls, vectors: DataFrame, path: str, state: dict[str, DataFrame], blocks: int | None = None) -> Index:
+        """An index of a step's state (see `sources.states`): vectors that have a label, each in its centroid's shard."""
+        router = state["router"]
+        blocks = blocks or (router.agg(F.max("pid")).first()[0] or 0) + 1
+        rows = vectors.select("vec_id", "embedding").join(state["labels"], "vec_id").join(F.broadcast(router.select("cid", "pid")), "cid").withColumn("deleted", F.lit(False))
+        return cls.from_tables(router, state["centers"], rows, path, nearest.Table(router, "cid", "cv", nearest.MAX_CENTERS).dim, blocks)
+
     @classmethod
     def _start(cls, spark: SparkSession, path: str, meta: dict) -> Index:
         os.makedirs(path, exist_ok=True)

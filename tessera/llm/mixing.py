@@ -49,42 +49,52 @@ def quotas(sizes: DataFrame, weights: dict[str | None, float] | None, total: int
     return ranked.select("src", "n", "x", (F.col("base") + F.when(F.col("r") <= F.col("left"), 1).otherwise(0)).alias("quota"))
 
 
-def _drawn(docs: DataFrame, keep: dict[str, Column], quota: DataFrame) -> DataFrame:
-    """keep and src, size, whole (certain copies), chance, q (the rank variable; null without a chance)."""
+def _narrow(docs: DataFrame, **keep: Column) -> DataFrame:
+    """keep and, for each row, id, src, size and u, uniform in (0, 1)."""
     digits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("bigint")
-    rows = docs.select(*[c.alias(k) for k, c in keep.items()], _source().alias("src"), _size().alias("size"), ((digits + 0.5) / float(1 << 48)).alias("u"))
-    due = rows.join(_shared.small(quota), "src").withColumn("due", F.col("quota") * F.col("size") / F.col("x"))
+    return docs.select(*[c.alias(k) for k, c in keep.items()], F.col("doc_id").alias("id"), _source().alias("src"), _size().alias("size"), ((digits + 0.5) / float(1 << 48)).alias("u"))
+
+
+def _drawn(rows: DataFrame, quota: DataFrame) -> DataFrame:
+    """rows of `_narrow` with whole (certain copies), chance, q (the rank variable; null without a chance) and bucket (of q)."""
+    due = rows.join(quota, "src").withColumn("due", F.col("quota") * F.col("size") / F.col("x"))
     chance = due.withColumn("whole", F.floor("due")).withColumn("chance", F.col("due") - F.col("whole"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance")))
-    return chance.withColumn("q", F.when(F.col("chance") > 0, odds))
+    drawn = chance.withColumn("q", F.when(F.col("chance") > 0, odds))
+    return drawn.withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS))
 
 
-def _bucket() -> Column:
-    return F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS)
+def _cut(rows: DataFrame, weights: dict | None, total: int | None) -> tuple[DataFrame, DataFrame, bool]:
+    """(quotas, cuts, whether equal rows lie across a cut) from the rows of `_narrow`; both have a row for each source.
 
-
-def _copied(docs: DataFrame, keep: dict[str, Column], weights: dict | None, total: int | None) -> DataFrame:
-    """keep, src and copies, for each row of docs."""
-    sizes = docs.select(_source().alias("src"), _size().alias("size")).groupBy("src").agg(F.count("*").alias("n"), F.sum("size").alias("x"))
+    A cut is the bucket `edge`, the last row (q, id, size) that is taken within it, how many `equal` it, and how
+    many of these, `some`, are taken.
+    """
+    sizes = rows.groupBy("src").agg(F.count("*").alias("n"), F.sum("size").alias("x"))
     quota = _shared.materialize(quotas(sizes, weights, total), "quotas")
-    drawn = _drawn(docs, {"id": F.col("doc_id")}, quota)
+    sources = quota.count()
+    drawn = _drawn(rows, _shared.small(quota, sources))
     # how many copies each source still needs, and in which bucket the last of them lies
-    counts = _shared.materialize(drawn.groupBy("src", _bucket().alias("bucket")).agg(F.count("*").alias("rows"), F.sum("whole").alias("whole")), "counts")
+    counts = _shared.materialize(drawn.groupBy("src", "bucket").agg(F.count("*").alias("rows"), F.sum("whole").alias("whole")), "counts")
     need = quota.join(counts.groupBy("src").agg(F.sum("whole").alias("whole")), "src").select("src", (F.col("quota") - F.col("whole")).alias("need"))
     upto = F.sum("rows").over(Window.partitionBy("src").orderBy("bucket"))
     edge = counts.where("bucket is not null").withColumn("upto", upto).join(need, "src").where("upto - rows < need and upto >= need").select("src", F.col("bucket").alias("edge"), (F.col("need") - F.col("upto") + F.col("rows")).alias("left"))
     edge = _shared.materialize(need.join(edge, "src", "left").select("src", F.when(F.col("need") <= 0, -1).otherwise(F.coalesce("edge", F.lit(BUCKETS))).alias("edge"), F.coalesce("left", F.lit(0)).alias("left")), "edges")
-    edge = _shared.small(edge)
-    # the last one taken within that bucket, and how many of its equals (rows repeated) are
-    inside = drawn.select("src", "q", "id", "size", _bucket().alias("bucket")).join(edge, "src").where("bucket = edge")
+    # only the rows of that bucket are ranked
     r = F.row_number().over(Window.partitionBy("src").orderBy("q", "id", "size"))
-    last = inside.withColumn("r", r).where("r <= left").groupBy("src").agg(F.max(F.struct("q", "id", "size")).alias("last"))
-    equal = inside.join(last, "src").where(F.struct("q", "id", "size") == F.col("last")).groupBy("src").agg(F.count("*").alias("equal"))
-    under = inside.join(last, "src").where(F.struct("q", "id", "size") < F.col("last")).groupBy("src").agg(F.count("*").alias("under"))
-    cut = _shared.materialize(edge.join(last, "src", "left").join(equal, "src", "left").join(under, "src", "left").select("src", "edge", "last", F.coalesce("equal", F.lit(0)).alias("equal"), (F.col("left") - F.coalesce("under", F.lit(0))).alias("some")), "cuts")
-    partial = cut.where("equal > some").select("src").count()
-    rows = _drawn(docs, {"id": F.col("doc_id"), **keep}, quota).withColumn("bucket", _bucket()).join(_shared.small(cut), "src")
-    mine = F.struct("q", "id", "size")
+    inside = drawn.join(_shared.small(edge, sources), "src").where("bucket = edge").select("src", "left", F.struct("q", "id", "size").alias("mine"), r.alias("r"))
+    last = F.max(F.when(F.col("r") <= F.col("left"), F.col("mine"))).over(Window.partitionBy("src"))
+    inside = inside.withColumn("last", last).groupBy("src").agg(F.first("last").alias("last"), F.count_if(F.col("mine") == F.col("last")).alias("equal"), F.count_if(F.col("mine") < F.col("last")).alias("under"))
+    cut = edge.join(inside, "src", "left").select("src", "edge", "last", F.coalesce("equal", F.lit(0)).alias("equal"), (F.col("left") - F.coalesce("under", F.lit(0))).alias("some"))
+    cut = _shared.materialize(cut, "cuts")
+    partial = not cut.where("equal > some").isEmpty()
+    _shared.release(counts, edge)
+    return _shared.small(quota, sources), _shared.small(cut, sources), partial
+
+
+def _copied(rows: DataFrame, keep: list[str], quota: DataFrame, cut: DataFrame, partial: bool) -> DataFrame:
+    """keep, src and copies, for each row of `_narrow`."""
+    rows, mine = _drawn(rows, quota).join(cut, "src"), F.struct("q", "id", "size")
     taken = F.when(F.col("bucket") < F.col("edge"), 1).when((F.col("bucket") == F.col("edge")) & (mine <= F.col("last")), 1).otherwise(0)
     out = lambda df, one: df.select(*keep, "src", (F.col("whole") + one).cast("int").alias("copies"))
     if not partial:
@@ -104,11 +114,15 @@ def sample(docs: DataFrame, weights: dict[str | None, float] | None = None, tota
     Ties in the order go by doc_id, then size; of equal rows at the cut any may be taken, so that sizes
     are exact. An empty table gives an empty result; other columns aren't looked at.
     """
-    got = _copied(docs, {"doc_id": F.col("doc_id")}, weights, total)
-    return got.select("doc_id", F.when(F.col("src") != NULL_SOURCE, F.col("src")).alias("source"), "copies")
+    rows = _shared.materialize(_narrow(docs), "drawn")  # texts are read once
+    got = _copied(rows, ["id"], *_cut(rows, weights, total))
+    return got.select(F.col("id").alias("doc_id"), F.when(F.col("src") != NULL_SOURCE, F.col("src")).alias("source"), "copies")
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None) -> DataFrame:
     """The mixture itself: each row of docs as often as `sample` has it, with its own columns."""
-    got = _copied(docs, {"row": F.struct(*docs.columns)}, weights, total)
+    rows = _shared.materialize(_narrow(docs), "drawn")
+    cuts = _cut(rows, weights, total)
+    _shared.release(rows)
+    got = _copied(_narrow(docs, row=F.struct(*docs.columns)), ["row"], *cuts)
     return got.where("copies > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -7,16 +7,22 @@ id modulo 4; the runbook is RUNBOOK. Floats are rounded to 6 decimals.
 
 from __future__ import annotations
 
+import json
+import math
+import os
+import shutil
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera import storage
+from tessera import simulate, storage
 from tessera.functions import distance
 from tessera.index import Index
-from tessera.operators import bounds, clustering, graph, maintenance, metrics, nearest, routing, updates
+from tessera.operators import bounds, clustering, graph, maintenance, metrics, nearest, partitioner, routing, updates
+from tessera.sources import runbook, states, vecs
+from tessera.streaming import replay
 
 DIM, CENTERS, BLOCKS, K, DEGREE = 64, 40, 4, 10, 8
 RUNBOOK = [(1, "insert", 0, 300), (2, "search", None, None), (3, "delete", 50, 120), (4, "insert", 300, 400), (5, "search", None, None), (6, "delete", 0, 30), (7, "search", None, None), (8, "insert", 400, 500), (9, "search", None, None)]
@@ -191,9 +197,90 @@ def index_roundtrip(x: Fixtures) -> DataFrame:
     return Index.load(x.spark, path).vectors.select("vec_id", "cid", "pid", "deleted")
 
 
-@query("SELECT max(step) AS step, max(step) + 1 AS next_step FROM steps WHERE step % 2 = 0 AND step < 8")
+@query("SELECT CAST(4 AS INTEGER) AS step, CAST(5 AS INTEGER) AS next_step")
 def checkpoint_resume(x: Fixtures) -> DataFrame:
-    return updates.resume_point(x.steps.where("step % 2 = 0").select("step", (F.col("step") < 8).alias("committed")))
+    """Checkpoints of steps 2, 4 and 6 on disk, the last one without its marker."""
+    path = storage.scratch(x.spark, "replay")
+    index = Index.from_tables(x.router, x.counted(), x.index(), os.path.join(path, "index"), DIM, BLOCKS)
+    run = replay.Replay(x.spark, x.vectors, x.queries, path, CENTERS, BLOCKS, CENTERS)
+    for step in (2, 4, 6):
+        run.index.meta["step"] = step
+        run.index._commit()
+        at = run.checkpoint()
+    os.remove(os.path.join(at, "COMMITTED"))
+    shutil.copytree(at, os.path.join(path, "checkpoints", "s000004"))
+    with open(os.path.join(path, "checkpoints", "s000004", "CURRENT"), "w") as f:
+        json.dump(index.meta | {"step": 4}, f)
+    open(os.path.join(path, "checkpoints", "s000004", "COMMITTED"), "w").close()
+    shutil.rmtree(os.path.join(path, "index"))
+    again = replay.Replay(x.spark, x.vectors, x.queries, path, CENTERS, BLOCKS, CENTERS)
+    return x.spark.createDataFrame([(again.step, again.step + 1)], "step int, next_step int").where(F.lit(again.index.vectors.count() > 0))
+
+
+def _file(x: Fixtures, name: str) -> str:
+    folder = storage.scratch(x.spark, "files")
+    os.makedirs(folder)
+    return os.path.join(folder, name)
+
+
+@query(f"SELECT vec_id, pos, CAST(embedding[pos + 1] AS DOUBLE) AS value FROM embeddings {_UNNEST} WHERE vec_id >= 50 AND vec_id < 150")
+def vector_file_scan(x: Fixtures) -> DataFrame:
+    """Vectors written as an fbin file, a range of its rows read."""
+    vecs.register(x.spark)
+    path = _file(x, "base.fbin")
+    vecs.write_vectors(x.raw.where("vec_id < 200"), path)
+    rows = x.spark.read.format("vecs").option("start", 50).option("rows", 100).load(path)
+    return rows.select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", "pos", F.col("x").cast("double").alias("value"))
+
+
+@query("SELECT qid, rank, vec_id FROM gt")
+def ground_truth_file(x: Fixtures) -> DataFrame:
+    vecs.register(x.spark)
+    path = _file(x, "gt.ivecs")
+    vecs.write_ground_truth(x.truth(), path, "ivecs")
+    return x.spark.read.format("groundtruth").option("kind", "ivecs").load(path)
+
+
+@query('SELECT step, operation, "start", "end" FROM steps')
+def runbook_file(x: Fixtures) -> DataFrame:
+    path = _file(x, "runbook.yaml")
+    runbook.save(x.steps, path, "fixture")
+    return runbook.load(x.spark, path, "fixture")
+
+
+@query("SELECT vec_id, c.cid, pid, cnt FROM a JOIN c USING (cid, pid) JOIN counted USING (cid)")
+def step_state_files(x: Fixtures) -> DataFrame:
+    """A step's centroids, counts, labels and partition, written as files and read again."""
+    folder = os.path.dirname(_file(x, "x"))
+    states.write_centers(x.counted(), folder, 3)
+    states.write_labels(x.placed(), folder, 3)
+    states.write_partitions(x.parts(), folder, 3)
+    got = states.read_state(x.spark, folder, states.first_step(folder, folder))
+    return got["labels"].join(got["router"], "cid").join(got["centers"].select("cid", "cnt"), "cid").select("vec_id", "cid", "pid", "cnt")
+
+
+@query("SELECT vec_id, cid, pid, (deleted AND vec_id < 280) OR vec_id BETWEEN 130 AND 159 AS deleted FROM idx WHERE vec_id < 280 UNION ALL SELECT vec_id, cid, pid, false FROM a WHERE vec_id BETWEEN 280 AND 399")
+def index_insert_delete(x: Fixtures) -> DataFrame:
+    """The index on disk after an insert that replaces 20 ids and a delete, told from its parts."""
+    index = Index.from_tables(x.router, x.counted(), x.index().where("vec_id < 300"), storage.scratch(x.spark, "index"), DIM, BLOCKS)
+    index.insert(x.vectors.where("vec_id between 280 and 399"))
+    index.delete(130, 160)
+    return Index.load(x.spark, index.path, verify=True).vectors.select("vec_id", "cid", "pid", "deleted")
+
+
+@query("SELECT vec_id, idx.cid, parts2.pid, deleted FROM idx JOIN parts2 USING (cid) WHERE NOT deleted UNION ALL SELECT vec_id, cid, pid, deleted FROM idx WHERE deleted")
+def index_delta_rebuild(x: Fixtures) -> DataFrame:
+    """The index on disk after centroids changed shards; only the vectors that move are written."""
+    index = Index.from_tables(x.router, x.counted(), x.index(), storage.scratch(x.spark, "index"), DIM, BLOCKS)
+    index.rebuild(maintenance.Repartition(x.other_parts(), 0, CENTERS), full=False)
+    return index.vectors.select("vec_id", "cid", "pid", "deleted")
+
+
+@query("SELECT p AS pid, count(*) FILTER (o = p) AS departed, count(*) FILTER (n = p) AS arrived FROM (SELECT idx.pid AS o, parts2.pid AS n FROM idx JOIN parts2 USING (cid) WHERE NOT deleted AND idx.pid <> parts2.pid) m, (SELECT pid AS p FROM shards) s GROUP BY p")
+def rebuild_report(x: Fixtures) -> DataFrame:
+    index = Index.from_tables(x.router, x.counted(), x.index(), storage.scratch(x.spark, "index"), DIM, BLOCKS)
+    index.rebuild(maintenance.Repartition(x.other_parts(), 0, CENTERS), full=False)
+    return x.spark.createDataFrame(index.report, "pid int, departed bigint, arrived bigint, tombstones bigint").drop("tombstones")
 
 
 # functions
@@ -303,6 +390,25 @@ def local_topk(x: Fixtures) -> DataFrame:
     return _rounded(routing.local_topk(x.placed(), x.queries, x.nprobe(), 5, exclude_self=True))
 
 
+def _damaged(x: Fixtures) -> DataFrame:
+    """Vectors of which some are null, empty, short, or hold a null, NaN or infinity."""
+    v, k = F.col("embedding"), F.col("vec_id") % 11
+    first = lambda value: F.concat(F.array(F.lit(value).cast("double")), F.slice(v, 2, DIM))
+    bad = F.when(k == 1, F.lit(None)).when(k == 2, F.slice(v, 1, 0)).when(k == 3, F.slice(v, 1, 10)).when(k == 4, first(None)).when(k == 5, first(float("nan"))).when(k == 6, first(float("-inf")))
+    return x.vectors.withColumn("embedding", bad.when(k == 7, F.concat(v, F.array(F.lit(0.0)))).otherwise(v))
+
+
+@query("SELECT vec_id, cid, pid FROM a WHERE vec_id % 11 NOT BETWEEN 1 AND 7")
+def null_vectors(x: Fixtures) -> DataFrame:
+    return routing.place(_damaged(x), x.router)
+
+
+@query(_ranked_sql("(SELECT * FROM pairs WHERE vec_id % 11 NOT BETWEEN 1 AND 7 AND qid % 11 NOT BETWEEN 1 AND 7) x"))
+def null_vectors_knn(x: Fixtures) -> DataFrame:
+    damaged = _damaged(x)
+    return _rounded(nearest.exact_knn(damaged, damaged.where("vec_id < 50").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), K))
+
+
 # clustering
 
 
@@ -393,14 +499,24 @@ def drift_phi(x: Fixtures) -> DataFrame:
     return graph.drift(x.other_parts(), x.parts(), BLOCKS).withColumn("phi", r6("phi"))
 
 
-@query()
+@query("SELECT (SELECT count(*) FROM c) AS centers, CAST(4 AS BIGINT) AS shards, true AS balanced, count(*) FILTER (s.pid <> t.pid) AS cut_by_modulo, true AS cuts_less FROM sym JOIN c s ON s.cid = src JOIN c t ON t.cid = dst WHERE src < dst")
 def balanced_partition(x: Fixtures) -> DataFrame:
-    return graph.partition(x.router, BLOCKS, DEGREE)
+    """What any good partition of the graph has: all centroids placed, shards within 3 %, fewer edges cut than by cid modulo the shards."""
+    parts = graph.partition(x.router, BLOCKS, DEGREE).persist()
+    edges = graph.symmetrize(x.graph()).persist()
+    most = math.ceil((1 + partitioner.IMBALANCE) * CENTERS / BLOCKS)
+    placed = graph.balance(parts).agg(F.sum("size").alias("centers"), F.count("*").alias("shards"), (F.max("size") <= most).alias("balanced"))
+    cut, plain = graph.edge_cut(edges, parts).select(F.col("cut").alias("own")), graph.edge_cut(edges, x.parts()).select(F.col("cut").alias("cut_by_modulo"))
+    return placed.crossJoin(plain).crossJoin(cut).select("centers", "shards", "balanced", "cut_by_modulo", (F.col("own") < F.col("cut_by_modulo")).alias("cuts_less"))
 
 
-@query()
+@query("SELECT (SELECT count(*) FROM c) AS centers, CAST(0 AS BIGINT) AS members, round(sum(d), 6) AS first_inertia, true AS fits_better FROM a")
 def kmeans_build(x: Fixtures) -> DataFrame:
-    return clustering.kmeans(x.vectors, CENTERS, restarts=2, iterations=20).select("cid", "cnt")
+    """What any good clustering has: as many centroids, no members yet, and less inertia than the first ids as centroids."""
+    got = clustering.kmeans(x.vectors, CENTERS, restarts=2, iterations=20).persist()
+    counted = got.agg(F.count("*").alias("centers"), F.sum("cnt").alias("members"))
+    both = clustering.inertia(x.vectors, x.router).select(r6("inertia").alias("first_inertia")).crossJoin(clustering.inertia(x.vectors, got))
+    return counted.crossJoin(both).select("centers", "members", "first_inertia", (F.col("inertia") < F.col("first_inertia")).alias("fits_better"))
 
 
 # routing
@@ -665,3 +781,20 @@ def oracle_recall_target(x: Fixtures) -> DataFrame:
 def oracle_branching_factor(x: Fixtures) -> DataFrame:
     out = bounds.branching_factor(x.shares(), routing.branching_factor(x.queries, x.router, 4), K)
     return out.select(*[r6(c).alias(c) for c in out.columns])
+
+
+@query(
+    "WITH act AS (SELECT t.s, vec_id FROM embeddings JOIN steps ON vec_id >= \"start\" AND vec_id < \"end\", (VALUES (1), (4)) t(s) WHERE step <= t.s AND operation IN ('insert', 'delete') GROUP BY t.s, vec_id HAVING arg_max(operation, step) = 'insert'), "
+    f"near AS (SELECT s, qid, vec_id FROM pairs JOIN act USING (vec_id) QUALIFY row_number() OVER (PARTITION BY s, qid ORDER BY d, vec_id) <= {K}), "
+    "n AS (SELECT g.s, g.qid, h.pid, count(a.vec_id) AS n FROM (SELECT DISTINCT s, qid FROM near) g CROSS JOIN shards h LEFT JOIN near ON near.s = g.s AND near.qid = g.qid LEFT JOIN a ON a.vec_id = near.vec_id AND a.pid = h.pid GROUP BY g.s, g.qid, h.pid), "
+    "r AS (SELECT s, qid, row_number() OVER w AS r, sum(n) OVER (PARTITION BY s, qid ORDER BY n DESC, pid ROWS UNBOUNDED PRECEDING) AS cum FROM n WINDOW w AS (PARTITION BY s, qid ORDER BY n DESC, pid)) "
+    f"SELECT CAST(s AS INTEGER) AS step, 'NProbe' AS kind, CAST(r AS DOUBLE) AS param, round(r / {BLOCKS}, 6) AS activation, round(avg(cum / {K}), 6) AS recall FROM r GROUP BY s, r "
+    f"UNION ALL SELECT CAST(s AS INTEGER), 'RecallTarget', 0.9::DOUBLE, round(avg(m) / {BLOCKS}, 6), round(avg(got / {K}), 6) FROM (SELECT s, qid, coalesce(min(r) FILTER (cum >= 9), {BLOCKS}) AS m, coalesce(min(cum) FILTER (cum >= 9), max(cum)) AS got FROM r GROUP BY s, qid) GROUP BY s"
+)
+def bounds_by_step(x: Fixtures) -> DataFrame:
+    """The bounds after two steps of the runbook, under one routing state."""
+    at = F.explode(F.array(F.lit(1), F.lit(4))).alias("step")
+    states_, parts = x.router.select("cid", "cv", at), x.parts().select("cid", "pid", at)
+    rows, _ = simulate.bounds_by_step(x.vectors, x.queries, x.steps, states_, parts, BLOCKS, K, [0.9])
+    got = x.spark.createDataFrame([(r["step"], r["kind"], r["param"], r["activation"], r["recall"]) for r in rows], "step int, kind string, param double, activation double, recall double")
+    return got.withColumn("activation", r6("activation")).withColumn("recall", r6("recall"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import clustering, graph, maintenance, metrics, nearest, partitioner, routing, updates
+from tessera.operators import bounds, clustering, graph, maintenance, metrics, nearest, partitioner, routing, updates
 
 
 def centers_by_step(vectors: DataFrame, steps: DataFrame, centers: DataFrame, dim: int) -> DataFrame:
@@ -62,32 +64,83 @@ def partitions_by_step(states: DataFrame, blocks: int, degree: int = graph.DEGRE
     return states.sparkSession.createDataFrame(out, "step int, cid int, pid int, moved int")
 
 
-def recall_by_step(vectors: DataFrame, queries: DataFrame, steps: DataFrame, states: DataFrame, parts: DataFrame, blocks: int, k: int, mode: str, param: float, dim: int, tau: float | None = None, rebuilds: bool = True) -> list[dict]:
-    """For each step with a state: recall, activation and load variation of routing among the vectors that live.
+def plan(states: DataFrame, parts: DataFrame, blocks: int, tau: float | None = None, rebuilds: bool = True) -> dict[int, tuple[int, float | None, bool]]:
+    """For each step with a state: the step whose state routes, the drift that led to it, whether it is a new one.
 
     rebuilds: every step routes by its own state. Without, all route by the first. With tau, by the
     last one whose drift from the one before it was above tau.
     """
-    at = sorted(r.step for r in states.select("step").distinct().collect())
-    named = {s: {r.cid: r.pid for r in parts.where(F.col("step") == s).collect()} for s in at}
+    named: dict[int, dict[int, int]] = {}
+    for r in parts.join(states.select("step").distinct(), "step", "left_semi").select("step", "cid", "pid").collect():  # centroids times steps
+        named.setdefault(r.step, {})[r.cid] = r.pid
+    at = sorted(named)
     if tau is not None:
-        plan = {s: (a, phi, did) for s, phi, did, a in maintenance.threshold_simulation([(s, named[s]) for s in at], blocks, tau)}
-    else:
-        plan = {s: (s if rebuilds else at[0], None, rebuilds) for s in at}
+        return {s: (a, phi, did) for s, phi, did, a in maintenance.threshold_simulation([(s, named[s]) for s in at], blocks, tau)}
+    return {s: (s if rebuilds else at[0], None, rebuilds or s == at[0]) for s in at}
+
+
+def _router(states: DataFrame, parts: DataFrame, step: int) -> DataFrame:
+    return states.where(F.col("step") == step).select("cid", "cv").join(F.broadcast(parts.where(F.col("step") == step).select("cid", "pid")), "cid")
+
+
+def _truth(vectors: DataFrame, queries: DataFrame, steps: DataFrame, step: int, k: int, truth: dict[int, DataFrame] | None) -> tuple[DataFrame, DataFrame] | None:
+    """(live vectors, true neighbours) after a step. truth: those by step, as files have them, which are of the search after an update: step + 1."""
+    live = vectors.join(updates.active_set(steps, vectors, step), "vec_id", "left_semi")
+    if truth is None:
+        return live, nearest.exact_knn(live, queries, k)  # a query that is itself a vector isn't its own neighbour
+    return (live, truth[step + 1]) if step + 1 in truth else None
+
+
+def recall_by_step(vectors: DataFrame, queries: DataFrame, steps: DataFrame, states: DataFrame, parts: DataFrame, blocks: int, k: int, mode: str, param: float, dim: int, tau: float | None = None, rebuilds: bool = True, truth: dict[int, DataFrame] | None = None) -> list[dict]:
+    """For each step with a state: recall, activation, load variation, queries by shard and time a query of routing among the vectors that live.
+
+    Which state routes is as `plan` has it. truth: the true neighbours (qid, rank, vec_id) by step + 1; steps
+    without them are passed over; None: they are computed.
+    """
     out, n = [], queries.count()
-    for s in at:
-        active, phi, did = plan[s]
-        router = states.where(F.col("step") == active).select("cid", "cv").join(parts.where(F.col("step") == active).select("cid", "pid"), "cid").persist()
-        live = vectors.join(updates.active_set(steps, vectors, s), "vec_id", "left_semi")
-        truth = nearest.exact_knn(live, queries, k).persist()
+    for s, (active, phi, did) in plan(states, parts, blocks, tau, rebuilds).items():
+        if (given := _truth(vectors, queries, steps, s, k, truth)) is None:
+            continue
+        router, live, gt = _router(states, parts, active).persist(), given[0], given[1].persist()
+        began = time.perf_counter()
         routes = routing.route(queries, router, mode, param, dim).persist()
-        out.append({
+        routes.count()
+        seconds = time.perf_counter() - began
+        loads = {r.pid: r.n for r in updates.partition_counts(routes).collect()}
+        row = {
             "step": s, "mode": mode, "param": param, "active_step": active, "phi": phi, "did_rebuild": did,
-            "recall": metrics.rerouted_recall(truth, live, router, routes, k).first().recall,
+            "recall": metrics.rerouted_recall(gt, live, router, routes, k).first().recall,
             "activation": metrics.activation(routes, blocks).first().activation,
             "cof": metrics.load_cof(routes, blocks).first().cof,
             "avg_parts": metrics.avg_parts_searched(routes, n).first().avg_parts,
-        })
-        for df in (router, truth, routes):
+            "queries_by_shard": [loads.get(p, 0) for p in range(blocks)], "query_time_s": seconds / max(n, 1),
+        }
+        if "prob" in routes.columns:
+            ranked = metrics.mean_partition_ranking(routing.route(queries, router, mode, 1.0, dim), n).orderBy("rank").collect()  # shards
+            row |= {"partition_ranking": [r.pid for r in ranked], "partition_probs": [r.prob for r in ranked]}
+        out.append(row)
+        for df in (router, gt, routes):
             df.unpersist()
     return out
+
+
+def bounds_by_step(vectors: DataFrame, queries: DataFrame, steps: DataFrame, states: DataFrame, parts: DataFrame, blocks: int, k: int, targets: list[float], tau: float | None = None, rebuilds: bool = True, truth: dict[int, DataFrame] | None = None) -> tuple[list[dict], DataFrame | None]:
+    """The best that any choice of shards could do at each step: rows by step, kind (NProbe, RecallTarget) and param with activation and recall.
+
+    And each query's shards, best first: (step, qid, shards, shares). Neighbours are where the state that routes puts them.
+    """
+    rows, rankings = [], None
+    for s, (active, _, _) in plan(states, parts, blocks, tau, rebuilds).items():
+        if (given := _truth(vectors, queries, steps, s, k, truth)) is None:
+            continue
+        live, gt = given[0], given[1].persist()
+        router = _router(states, parts, active)
+        needed = live.join(gt.where(F.col("rank") <= k).select("vec_id").distinct(), "vec_id", "left_semi")
+        shares = bounds.neighbour_shares(gt, routing.place(needed, router), k, blocks).persist()
+        rows += [{"step": s, "active_step": active, "kind": "NProbe", "param": float(r.nprobe), "activation": r.activation, "recall": r.mean_recall} for r in bounds.nprobe(shares, k, blocks).orderBy("nprobe").collect()]
+        rows += [{"step": s, "active_step": active, "kind": "RecallTarget", "param": r.target, "activation": r.mean_shards / blocks, "recall": r.mean_recall} for r in bounds.recall_target(shares, k, blocks, targets).orderBy("target").collect()]
+        mine = shares.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("r", "pid", "n"))).alias("x"))  # a query's shards
+        mine = mine.select(F.lit(s).alias("step"), "qid", F.transform("x", lambda v: v["pid"]).alias("shards"), F.transform("x", lambda v: v["n"] / k).alias("shares"))
+        rankings = mine if rankings is None else rankings.unionAll(mine)
+        gt.unpersist()
+    return rows, rankings

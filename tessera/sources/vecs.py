@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Suffix: (element type, whether each row begins with its dimension).
@@ -174,36 +175,88 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def write_vectors(vectors: DataFrame, path: str) -> int:
-    """Writes vectors in order of vec_id as one file in the format of the path's suffix; rows come to the driver part by part."""
-    kind, rowwise = FORMATS[file_format(path)]
-    n, dim, aside = 0, 0, path + ".part"
+def _ordinals(df: DataFrame, key: str) -> DataFrame:
+    """df with `ordinal`, the place of each row in the order of key from 0: counts of ranges, and places within each range, so no task orders more than a range."""
+    n = df.count()
+    cuts = sorted(set(df.approxQuantile(key, [k / (r := -(-n // ROWS_PER_PARTITION)) for k in range(1, r)], 0.001))) if n > ROWS_PER_PARTITION else []
+    bucket = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda x: x < F.col(key))) if cuts else F.lit(0)
+    rows = df.withColumn("_bucket", bucket)
+    counts = sorted(rows.groupBy("_bucket").count().collect())
+    before = np.concatenate(([0], np.cumsum([c for _, c in counts]))).tolist()
+    offsets = df.sparkSession.createDataFrame([(b, int(o)) for (b, _), o in zip(counts, before, strict=False)] or [(0, 0)], "_bucket int, _offset bigint")
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
+    return rows.withColumn("_place", place).join(F.broadcast(offsets), "_bucket").withColumn("ordinal", F.col("_place") + F.col("_offset")).drop("_bucket", "_place", "_offset")
+
+
+def _write_rows(rows: DataFrame, path: str, head: bytes, width: int, lead: bytes, kind: type) -> None:
+    """Writes rows (ordinal, values), each lead and its values, at their places in a file on a shared file system; tasks write side by side, and a repeated one writes the same."""
+    aside = path + ".part"
     with open(aside, "wb") as f:
-        if not rowwise:
-            f.write(np.zeros(2, "<u4").tobytes())
-        for row in vectors.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator():
-            v = np.asarray(row.embedding, np.dtype(kind).newbyteorder("<"))
-            if n and len(v) != dim:
-                raise ValueError("vectors of several dimensions")
-            n, dim = n + 1, len(v)
-            f.write((np.array([dim], "<i4").tobytes() if rowwise else b"") + v.tobytes())
-        if not rowwise:
-            f.seek(0)
-            f.write(np.array([n, dim], "<u4").tobytes())
+        f.write(head)
+        f.truncate(len(head) + width * rows.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, at = 0, os.open(aside, os.O_WRONLY)
+        try:
+            for b in batches:
+                x = np.array(b.column(1).to_pylist()) if not b.num_rows else np.stack(b.column(1).to_numpy(zero_copy_only=False))
+                order = np.argsort(b.column(0).to_numpy())
+                places = b.column(0).to_numpy()[order]
+                data = np.ascontiguousarray(x[order]).astype(np.dtype(kind).newbyteorder("<")) if b.num_rows else x
+                cut = np.flatnonzero(np.diff(places) != 1) + 1
+                for i, j in zip([0, *cut], [*cut, len(places)], strict=True):
+                    if j > i:
+                        os.pwrite(at, b"".join(lead + r.tobytes() for r in data[i:j]), len(head) + width * int(places[i]))
+                n += b.num_rows
+        finally:
+            os.close(at)
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    rows.mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
     os.replace(aside, path)
-    return n
+
+
+def write_vectors(vectors: DataFrame, path: str) -> int:
+    """Writes vectors in order of vec_id as one file in the format of the path's suffix, on a mounted file system that all tasks reach."""
+    kind, rowwise = FORMATS[file_format(path)]
+    rows = vectors.select("vec_id", "embedding")
+    got = rows.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most"), F.count_if(F.col("vec_id").isNull() | F.col("embedding").isNull()).alias("null")).first()
+    if got.null or got.least != got.most:
+        raise ValueError("null vectors or vectors of several dimensions")
+    dim = got.most or 0
+    head = b"" if rowwise else np.array([got.n, dim], "<u4").tobytes()
+    _write_rows(_ordinals(rows, "vec_id").select("ordinal", "embedding"), path, head, dim * np.dtype(kind).itemsize + 4 * rowwise, np.array([dim], "<i4").tobytes() if rowwise else b"", kind)
+    return got.n
 
 
 def write_ground_truth(truth: DataFrame, path: str, kind: str = "bin") -> int:
     """Writes (qid, rank, vec_id) with as many neighbours for each query; queries count from 0 in order of qid."""
-    rows = [[r.vec_id for r in sorted(q.found)] for q in truth.selectExpr("qid", "struct(rank, vec_id) as x").groupBy("qid").agg({"x": "collect_list"}).toDF("qid", "found").orderBy("qid").collect()]
-    ids = np.array(rows, "<u4").reshape(len(rows), -1)
+    if kind not in ("bin", "ivecs"):
+        raise ValueError(f"unknown ground truth: {kind}")
+    rows = truth.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
+    got = rows.agg(F.count("*").alias("n"), F.min(F.size("ids")).alias("least"), F.max(F.size("ids")).alias("most")).first()
+    if got.least != got.most:
+        raise ValueError("queries with several numbers of neighbours")
+    k = got.most or 0
+    head = b"" if kind == "ivecs" else np.array([got.n, k], "<u4").tobytes()
+    _write_rows(_ordinals(rows, "qid").select("ordinal", "ids"), path, head, 4 * k + 4 * (kind == "ivecs"), np.array([k], "<u4").tobytes() if kind == "ivecs" else b"", np.uint32)
+    return got.n
+
+
+def truth_vectors(vectors: DataFrame, truth: DataFrame, path: str) -> DataFrame:
+    """(vec_id, embedding) of all true neighbours, kept at path; made again where what is there holds another number of vectors than truth has ids."""
+    spark, ids = truth.sparkSession, truth.select("vec_id").distinct()
+    if not (os.path.exists(os.path.join(path, "_SUCCESS")) and spark.read.parquet(path).count() == ids.count()):
+        vectors.select("vec_id", "embedding").join(ids, "vec_id", "left_semi").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def dump(values, path: str, kind: type = np.float32) -> int:
+    """Raw little-endian numbers, as reports and plots read them; gives how many."""
+    x = np.ascontiguousarray(values, np.dtype(kind).newbyteorder("<")).ravel()
     with open(path, "wb") as f:
-        if kind == "ivecs":
-            f.write(np.hstack([np.full((len(ids), 1), ids.shape[1], "<u4"), ids]).tobytes())
-        else:
-            f.write(np.array(ids.shape, "<u4").tobytes() + ids.tobytes())
-    return len(ids)
+        f.write(x.tobytes())
+    return len(x)
 
 
 def read_partition_map(path: str) -> np.ndarray:
