@@ -241,7 +241,7 @@ def ground_truth_file(x: Fixtures) -> DataFrame:
     return x.spark.read.format("groundtruth").option("kind", "ivecs").load(path)
 
 
-@query('SELECT step, operation, "start", "end" FROM steps')
+@query('SELECT CAST(step AS INTEGER) AS step, operation, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end" FROM steps')
 def runbook_file(x: Fixtures) -> DataFrame:
     path = _file(x, "runbook.yaml")
     runbook.save(x.steps, path, "fixture")
