@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import clustering, graph, maintenance, nearest, routing, updates
 
-#: Rows of a file of vectors about; parts before they are put together; replaced ids that go to every task.
-ROWS_PER_FILE, MAX_PARTS, BROADCAST_IDS = 1_000_000, 64, 2_000_000
+#: Rows of a file of vectors about; parts, and ranges of deleted ids, before they are put together; replaced ids that go to every task.
+ROWS_PER_FILE, MAX_PARTS, MAX_RANGES, BROADCAST_IDS = 1_000_000, 64, 256, 2_000_000
+#: Breadths of a graph's building and search, which are kept or taken but change nothing: search in a shard is exact.
+EF_CONSTRUCTION, EF = 200, 10
 
 
 class Index:
@@ -30,6 +32,7 @@ class Index:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.timings: dict[str, float] = {}
+        self.ef = EF
         #: (pid, departed, arrived, tombstones) of the last rebuild.
         self.report: list[tuple[int, int, int, int]] = []
         with open(os.path.join(path, "CURRENT")) as f:
@@ -76,11 +79,14 @@ class Index:
         self.timings[what] = self.timings.get(what, 0.0) + time.perf_counter() - began
 
     @classmethod
-    def build(cls, vectors: DataFrame, path: str, n_centers: int, blocks: int, seed: int = 0, degree: int = graph.DEGREE, initial_centers: DataFrame | None = None, assignments: DataFrame | None = None) -> Index:
-        """Centroids (or those given), their graph and partition, and every usable vector in its shard. assignments (vec_id, cid) need initial_centers."""
+    def build(cls, vectors: DataFrame, path: str, n_centers: int, blocks: int, seed: int = 0, degree: int = graph.DEGREE, initial_centers: DataFrame | None = None, assignments: DataFrame | None = None, ef_construction: int = EF_CONSTRUCTION) -> Index:
+        """Centroids (or those given), their graph and partition, and every usable vector in its shard. assignments (vec_id, cid) need initial_centers.
+
+        degree: neighbours of a centroid in the graph that is partitioned (twice the M of an index that is a graph).
+        """
         if assignments is not None and initial_centers is None:
             raise ValueError("assignments need their centroids")
-        index = cls._start(vectors.sparkSession, path, {"blocks": blocks, "step": 0})
+        index = cls._start(vectors.sparkSession, path, {"blocks": blocks, "step": 0, "degree": degree, "ef_construction": ef_construction})
         with index._timed("kmeans_s"):
             centers = initial_centers if initial_centers is not None else clustering.kmeans(vectors, n_centers, seed=seed)
             centers = centers.select("cid", F.col("cv").cast("array<double>").alias("cv"), F.lit(0).cast("bigint").alias("cnt"))
@@ -121,15 +127,15 @@ class Index:
     def _start(cls, spark: SparkSession, path: str, meta: dict) -> Index:
         os.makedirs(path, exist_ok=True)
         index = cls.__new__(cls)
-        index.spark, index.path, index.timings, index.report = spark, path, {}, []
+        index.spark, index.path, index.timings, index.report, index.ef = spark, path, {}, [], EF
         index.meta = {"version": 0, "parts": [], "ranges": [], "replaced": []} | meta
         return index
 
     def _check(self, vectors: DataFrame) -> None:
-        """An error if the vectors are of another dimension, told from the first one that isn't null."""
-        first = vectors.where("embedding is not null and size(embedding) > 0").select(F.size("embedding").alias("n")).first()
-        if first and first.n != self.dim:
-            raise ValueError(f"vectors of dimension {first.n} in an index of dimension {self.dim}")
+        """An error if there are vectors, but none of the index's dimension."""
+        n = F.size("embedding")
+        if vectors.where(n == self.dim).isEmpty() and (other := vectors.where(n > 0).select(n.alias("n")).first()):
+            raise ValueError(f"vectors of dimension {other.n} in an index of dimension {self.dim}")
 
     def _next(self, name: str) -> str:
         self.meta = self.meta | {"version": self.meta["version"] + 1}
@@ -149,7 +155,8 @@ class Index:
         rows = rows.select("vec_id", F.col("embedding").cast(self.meta["embedding"]).alias("embedding"), "cid", F.col("deleted"), "pid")
         files = max(1, -(-about // (self.blocks * ROWS_PER_FILE)))
         to = self._next("vectors")
-        out = rows.repartition("pid", F.pmod(F.xxhash64("vec_id"), F.lit(files))).write.option("maxRecordsPerFile", ROWS_PER_FILE)
+        # in order of ids within a file, so that ranges of ids (deletes) skip row groups
+        out = rows.repartition("pid", F.pmod(F.xxhash64("vec_id"), F.lit(files))).sortWithinPartitions("pid", "vec_id").write.option("maxRecordsPerFile", ROWS_PER_FILE)
         out.partitionBy("pid").mode("overwrite").parquet(os.path.join(self.path, to))
         part = {"path": to, "version": self.meta["version"]}
         part |= self._sums(part)
@@ -244,18 +251,24 @@ class Index:
         old = self.vectors
         with self._timed("place_s"):
             part = self._add(updates.once(routing.place(vectors, self.router, ("embedding",))), vectors.count())
-        new = self._part(part)
+        new, centers = self._part(part), self.centers
         ids = new.select("vec_id")
-        there = old.join(F.broadcast(ids) if part["rows"] <= BROADCAST_IDS else ids, "vec_id", "left_semi")
-        self._replace(there.select("vec_id").distinct())
+        # of the vectors there are only ids are read, and more of those that are replaced
+        if n := self._replace(old.select("vec_id").join(F.broadcast(ids) if part["rows"] <= BROADCAST_IDS else ids, "vec_id", "left_semi").distinct()):
+            gone = self.spark.read.schema("vec_id bigint").parquet(os.path.join(self.path, self.meta["replaced"][-1]["path"]))
+            lost = old.where("not deleted").join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, "vec_id", "left_semi")
+            centers = updates.centers_after_delete(centers, lost, self.dim)
         # the part is as new as the ids that it replaces, so its own rows count
         part["version"] = self.meta["version"]
-        centers = updates.centers_after_delete(self.centers, there.where("not deleted"), self.dim)
         self._write(centers=updates.centers_after_insert(centers, new, self.dim))
-        if len(self.meta["parts"]) > MAX_PARTS:
-            self._add(self.vectors, self._rows(), alone=True)
+        self._merge()
         self._commit()
 
+    def _merge(self) -> None:
+        """All parts into one where they, or the ranges of deleted ids, are many."""
+        if len(self.meta["parts"]) > MAX_PARTS or len(self.meta["ranges"]) > MAX_RANGES:
+            self._add(self.vectors, self._rows(), alone=True)
+
     def delete(self, start: int, end: int, strict: bool = False) -> None:
         """Deletes ids from start to before end. Unknown ids are passed over, or an error if strict. Only centroids and the range are written."""
         gone = self.vectors.where(~F.col("deleted") & F.col("vec_id").between(start, end - 1))
@@ -263,6 +276,7 @@ class Index:
             raise ValueError(f"{end - start - n} ids to delete aren't in the index")
         self._write(centers=updates.centers_after_delete(self.centers, gone, self.dim))
         self.meta["ranges"] = [*self.meta["ranges"], [self.meta["version"], start, end]]
+        self._merge()
         self._commit()
 
     def repartition(self, seed: int = 0, degree: int = graph.DEGREE) -> maintenance.Repartition:
@@ -303,6 +317,12 @@ class Index:
         what = maintenance.decision(step, operation, new.moved, threshold, n, worst, interval)
         return none | {"rebuild": what, "moved": new.moved, "movers": self.rebuild(new, what == "full") if what != "none" else 0, "elements_moved": new.elements}
 
+    def set_ef(self, ef: int) -> None:
+        """How many candidates a graph's search would look at. It isn't kept with the index, and exact search finds the same whatever it is."""
+        if ef < 1:
+            raise ValueError("ef is at least 1")
+        self.ef = ef
+
     def shard_sizes(self) -> DataFrame:
         return updates.shard_sizes(self.vectors)
 

@@ -92,7 +92,7 @@ def lloyd(vectors: DataFrame, centers: np.ndarray, iterations: int = MAX_ITERATI
 def kmeans(vectors: DataFrame, k: int, sample: int = SAMPLE, restarts: int = 1, seed: int = 42, iterations: int = MAX_ITERATIONS) -> DataFrame:
     """(cid, cv, cnt): the best of several runs by inertia. Counts start at 0, so a centroid's first member replaces it."""
     some = sample_vectors(vectors, sample, seed)
-    x = nearest.Table(some, "vec_id", "embedding", sample).vectors
+    x = nearest.Table(some, "vec_id", "embedding", sample, mixed=True).vectors
     if not len(x):
         raise ValueError("no vectors to cluster")
     best, least = None, np.inf

@@ -24,18 +24,19 @@ class TooMany(ValueError):
 class Table:
     """Ids and vectors of a small table, on the driver; its size is checked. Rows without id or usable vector are left out.
 
-    dim: vectors of another dimension are left out too; if it isn't given, all must have the same.
+    dim: vectors of another dimension are left out too. If it isn't given, all must have the same, or, if mixed,
+    it is the one that most have (of equally many, the larger).
     """
 
-    def __init__(self, df: DataFrame, id_: str, vector: str, most: int, also: str | None = None, dim: int | None = None):
+    def __init__(self, df: DataFrame, id_: str, vector: str, most: int, also: str | None = None, dim: int | None = None, mixed: bool = False):
         got = df.select(F.col(id_).cast("bigint").alias("id"), F.col(vector).alias("v"), *([F.col(also).alias("also")] if also else [])).where("id is not null").limit(most + 1).toArrow()
         if got.num_rows > most:
             raise TooMany(f"more than {most} rows in a table that goes to every task")
         if dim is None:
-            sizes = np.unique([n for n in pc.list_value_length(got.column("v")).to_pylist() if n])
-            if len(sizes) > 1:
+            sizes, rows = np.unique([n for n in pc.list_value_length(got.column("v")).to_pylist() if n], return_counts=True)
+            if len(sizes) > 1 and not mixed:
                 raise ValueError(f"vectors of dimensions {', '.join(map(str, sizes))} in one table")
-            dim = int(sizes[0]) if len(sizes) else 1
+            dim = int(sizes[rows == rows.max()][-1]) if len(sizes) else 1
         self.dim = dim
         self.vectors, rows = kernels.usable(got.column("v"), self.dim)
         self.ids = got.column("id").to_numpy()[rows]
@@ -113,13 +114,14 @@ def _slices(queries: DataFrame) -> list[Table]:
 
     Queries have the dimension that most of them have (of equally many, the larger); others are left out.
     """
-    sizes = queries.where("qid is not null and size(qv) > 0").groupBy(F.size("qv").alias("dim")).count().collect()
-    dim = max(((r["count"], r.dim) for r in sizes), default=(0, 1))[1]
-    total = sum(r["count"] for r in sizes)
-    if total <= QUERY_SLICE:
-        return [Table(queries.where(F.size("qv") == dim), "qid", "qv", QUERY_SLICE, dim=dim)]
-    n = -(-total // QUERY_SLICE) + 1  # parts by hash are uneven
-    return [Table(queries.where((F.size("qv") == dim) & (F.pmod(F.xxhash64("qid"), F.lit(n)) == k)), "qid", "qv", 2 * QUERY_SLICE, dim=dim) for k in range(n)]
+    try:
+        return [Table(queries, "qid", "qv", QUERY_SLICE, mixed=True)]
+    except TooMany:
+        sizes = queries.where("qid is not null and size(qv) > 0").groupBy(F.size("qv").alias("dim")).count().collect()
+        dim = max(((r["count"], r.dim) for r in sizes), default=(0, 1))[1]
+        n = -(-sum(r["count"] for r in sizes) // QUERY_SLICE) + 1  # parts by hash are uneven
+        usable = queries.where(F.size("qv") == dim)
+        return [Table(usable.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k), "qid", "qv", 2 * QUERY_SLICE, dim=dim) for k in range(n)]
 
 
 def scan_topk(vectors: DataFrame, queries: DataFrame, k: int, routes: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:

@@ -73,6 +73,14 @@ def test_many_queries_go_in_slices(x, placed, monkeypatch):
     assert sorted(nearest.exact_knn(x.vectors, x.queries, 3).collect()) == sorted(whole)
     with pytest.raises(ValueError):
         nearest.Table(x.queries, "qid", "qv", 10)
+    # queries of another dimension than most of them are left out, of either number
+    odd = x.queries.withColumn("qv", F.expr("if(qid % 5 = 0, slice(qv, 1, 3), qv)"))
+    want = sorted(r for r in whole if r.qid % 5)
+    assert sorted(nearest.exact_knn(x.vectors, odd, 3).collect()) == want
+    monkeypatch.setattr(nearest, "QUERY_SLICE", 60)
+    assert sorted(nearest.exact_knn(x.vectors, odd, 3).collect()) == want
+    with pytest.raises(ValueError):
+        nearest.Table(odd, "qid", "qv", 60)
 
 
 def test_only_routed_shards_are_read(spark, x, placed, tmp_path):
