@@ -202,15 +202,27 @@ def test_awkward_rows(spark, awkward, awkward_rows, no_docs):
     assert simhash_neardup.deduplicate(repeated).count() == 1
 
 
-@pytest.mark.parametrize("kind", ["random", "chain", "star", "none"])
+@pytest.mark.parametrize("kind", ["random", "chain", "long", "star", "none"])
 def test_connected_components(spark, kind):
     rng = random.Random(7)
-    edges = {"random": [(rng.randrange(80), rng.randrange(80)) for _ in range(45)], "chain": [(i, i + 1) for i in range(60)], "star": [(50, i) for i in range(60)], "none": []}[kind]
+    edges = {"long": [(i * 7919 % 1009, (i + 1) * 7919 % 1009) for i in range(1000)], "random": [(rng.randrange(80), rng.randrange(80)) for _ in range(45)], "chain": [(i, i + 1) for i in range(60)], "star": [(50, i) for i in range(60)], "none": []}[kind]
     df = spark.createDataFrame([*edges, *edges, (3, 3), (None, 4)], "a bigint, b bigint")
     got = {r.node: r.component for r in _shared.connected_components(df).collect()}
     label = {x: x for e in edges for x in e if e[0] != e[1]}
-    for _ in label:
-        for a, b in edges:
+    before = None
+    while before != label:
+        before = dict(label)
+        for a, b in [*edges, *edges[::-1]]:
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
     assert got == label
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark, monkeypatch):
+    hinted = lambda df, *rows: "ResolvedHint" in (plan := _shared.small(df, *rows)._jdf.queryExecution().analyzed().toString()) or "broadcast" in plan
+    ids, long = spark.range(50), spark.range(10).selectExpr("repeat('x', 1000) as name")
+    assert hinted(ids) and hinted(ids, 50) and hinted(long)
+    monkeypatch.setattr(_shared, "BROADCAST_ROWS", 49)
+    assert not hinted(ids) and not hinted(ids, 50)
+    monkeypatch.setattr(_shared, "BROADCAST_BYTES", 9000)
+    assert not hinted(long) and hinted(ids.limit(5)) and hinted(spark.range(0).selectExpr("'' as name"))
