@@ -21,6 +21,10 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_topk_search_every_50th(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(_table(spark, sf_dir, "embeddings"), every=50)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -59,7 +63,7 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_topk_search, op3_language_id, op4_warc_zstd, op5_simhash_fingerprints, op6_toxicity, op7_best_fit_packing, op8_simhash_neardup, op9_quality_classifier, op10_mixing_sources)
+    for f in (op1_url_filters, op2_topk_search, op2_topk_search_every_50th, op3_language_id, op4_warc_zstd, op5_simhash_fingerprints, op6_toxicity, op7_best_fit_packing, op8_simhash_neardup, op9_quality_classifier, op10_mixing_sources)
 }
 
 
@@ -129,6 +133,13 @@ SELECT vec_id, rank, neighbor_id, score FROM (
     FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id))
 WHERE rank <= {topk_search.K}"""
 
+_OP2_EVERY_50TH = f"""
+SELECT vec_id, rank, neighbor_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor_id) AS INTEGER) AS rank FROM (
+    SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), {topk_search.DECIMALS}) AS score
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0))
+WHERE rank <= {topk_search.K}"""
+
 #: The documents (rows of `docs`) with the copies that mixing gives them; the pipeline's SQL could use it too.
 _OP10 = f"""
 WITH d AS (SELECT doc_id, coalesce(source, '{mixing.NULL_SOURCE}') AS src, length(bin(CAST(coalesce(length(text), 0) AS BIGINT))) AS size,
@@ -146,6 +157,7 @@ SELECT doc_id, CASE WHEN src <> '{mixing.NULL_SOURCE}' THEN src END AS source, C
 ORACLES: dict[str, str] = {
     "op1_url_filters": _OP1,
     "op2_topk_search": _OP2,
+    "op2_topk_search_every_50th": _OP2_EVERY_50TH,
     "op4_warc_zstd": "SELECT page_id, url, html FROM pages",
     "op10_mixing_sources": _OP10,
 }

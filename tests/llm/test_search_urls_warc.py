@@ -44,6 +44,52 @@ def test_topk_of_long_vectors_is_exact(scale):
         assert got[i].tolist() == [j for _, j in want] and scores[i].tolist() == [-s for s, _ in want]
 
 
+@pytest.mark.parametrize("lengths", ["equal", "one very long", "zeros", "tiny", "ties"])
+def test_topk_over_many_shards_is_exact(lengths):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 12)).astype(np.float32)
+    if lengths == "one very long":
+        x[::150] *= 1e6  # single precision tells nothing beside it
+    elif lengths == "zeros":
+        x[::3] = 0
+    elif lengths == "tiny":
+        x *= 1e-30
+    elif lengths == "ties":
+        x = rng.integers(-1, 2, x.shape).astype(np.float32)
+    ids = rng.permutation(1500)
+    found = topk_search.Best(x[:300], ids[:300], 10)
+    for i in range(0, 1500, 250):
+        found.add(x[i : i + 250], ids[i : i + 250])
+    for i in range(300):
+        exact = topk_search._exact(np.repeat(np.float64(x[i : i + 1]), 1500, 0), np.float64(x))
+        want = sorted((-s, j) for s, j in zip(exact, ids, strict=True) if j != ids[i])[:10]
+        assert found.ids[i].tolist() == [j for _, j in want] and found.scores[i].tolist() == [-s for s, _ in want]
+
+
+def test_topk_computes_few_pairs_exactly(monkeypatch):
+    pairs, exact = [], topk_search._exact
+    monkeypatch.setattr(topk_search, "_exact", lambda a, b: pairs.append(len(a)) or exact(a, b))
+    x = np.random.default_rng(6).normal(size=(20_000, 16))
+    found = topk_search.Best(x[:500], np.arange(500), 10)
+    for i in range(0, 20_000, 1000):
+        found.add(x[i : i + 1000], np.arange(i, i + 1000))
+    assert sum(pairs) < 70 * 500  # each shard by itself: 20 times 10 at least
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_topk_of_every_50th_and_its_sql(spark, tmp_path, block):
+    rng = np.random.default_rng(7)
+    rows = [(int(i), np.float32(v).tolist()) for i, v in zip(rng.permutation(900) - 150, rng.integers(-3, 4, (900, 6)), strict=True)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = topk_search.search(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), block=block, every=50).collect()
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.sql(queries.ORACLES["op2_topk_search_every_50th"]).fetchall())
+    assert sorted(map(tuple, queries.op2_topk_search_every_50th(spark, str(tmp_path)).collect())) == sorted(map(tuple, got))
+    assert {r.vec_id for r in got} == set(range(-150, 750, 50))
+    assert topk_search.search(spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id bigint, embedding array<float>"), every=50).count() == 0
+
+
 def test_topk_awkward(spark):
     rows = [(1, [1.0, 0.0], 0, 0), (1, [1.0, 0.0], 0, 0), (2, [0.0, 1.0], 0, 0), (3, None, 0, 0), (None, [1.0, 1.0], 0, 0), (4, [], 0, 0), (5, [1.0], 0, 0), (6, [float("nan"), 1.0], 0, 0), (7, [float("inf"), 1.0], 0, 0), (8, [None, 1.0], 0, 0)]
     got = topk_search.search(spark.createDataFrame(rows, VECTORS)).collect()
