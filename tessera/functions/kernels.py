@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
-#: Distances computed at a time.
-_CELLS = 1 << 20
+#: Distances, or elements of vectors, worked on at a time; rows of a batch at a time.
+_CELLS, ROWS = 1 << 20, 4096
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, ROWS at most at a time: what is computed from them is as large whatever the batches' size."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
 
 
 def usable(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -19,8 +28,9 @@ def usable(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np
         column = column if isinstance(column, pa.Array) else (column.chunk(0) if column.num_chunks else pa.array([], column.type))
     n = len(column)
     offsets = column.offsets.to_numpy()
-    # what a null row spans isn't looked at; null elements become NaN
-    values = column.values.to_numpy(zero_copy_only=False)
+    # what a null row spans isn't looked at; null elements become NaN; of a slice's values only its own are converted
+    values = column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False)
+    offsets = offsets - offsets[0]
     fits = np.diff(offsets) == dim
     if column.null_count:
         fits &= ~np.asarray(column.is_null())
@@ -43,6 +53,14 @@ def exact_l2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _exact(q: np.ndarray, r: np.ndarray, x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """exact_l2 of the rows r of q and c of x, some at a time: where many are equally near, candidates are as many as the pairs."""
+    out, step = np.empty(len(r)), max(1, _CELLS // q.shape[1])
+    for i in range(0, len(r), step):
+        out[i : i + step] = exact_l2(q[r[i : i + step]], x[c[i : i + step]])
+    return out
+
+
 def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, row of x, squared distance) of each query's k nearest, by distance, then id; not those with the id in own.
 
@@ -62,7 +80,7 @@ def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, own: np.ndarr
         limit = np.partition(far, k - 1, axis=1)[:, k - 1] if far.shape[1] > k else np.full(len(part), np.inf)
         slack = 1e-12 * (qq + xx.max()) * x.shape[1]
         r, c = np.nonzero((far <= (limit + slack)[:, None]) & (far < np.inf))
-        d = exact_l2(part[r], x[c])
+        d = _exact(part, r, x, c)
         order = np.lexsort((ids[c], d, r))
         r, c, d = r[order], c[order], d[order]
         some = np.arange(len(r)) - np.searchsorted(r, r) < k
@@ -106,7 +124,7 @@ class Best:
             least = np.minimum.reduceat(far, starts, axis=1)
             limit = np.partition(least, self.k - 1, axis=1)[:, self.k - 1] if least.shape[1] > self.k else np.full(len(part), np.inf)
             r, c = np.nonzero((far <= (limit + 1e-12 * (qq + xx.max()) * x.shape[1])[:, None]) & (far < np.inf))
-            d = exact_l2(part[r], x[c])
+            d = _exact(part, r, x, c)
             order = np.lexsort((d, group[c], r))
             r, g, d = r[order], group[c[order]], d[order]
             first = np.concatenate(([True], (r[1:] != r[:-1]) | (g[1:] != g[:-1]))) if len(r) else np.zeros(0, bool)
@@ -152,7 +170,7 @@ def within(q: np.ndarray, x: np.ndarray, most: float) -> tuple[np.ndarray, np.nd
             qq = (part * part).sum(1)
             slack = 1e-12 * (qq + xx.max()) * x.shape[1]
             r, c = np.nonzero(qq[:, None] + xx[None, :] - 2 * (part @ x.T) <= (most + slack)[:, None])
-            d = exact_l2(part[r], x[c])
+            d = _exact(part, r, x, c)
             some = d <= most
             rows.append(r[some] + i)
             cols.append(c[some])

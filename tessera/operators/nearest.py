@@ -57,7 +57,7 @@ def closest_centers(queries: DataFrame, centers: DataFrame, n: int, id_: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x, pid = shared.value
-        for b in batches:
+        for b in kernels.pieces(batches):
             q, rows = kernels.usable(b.column(1), dim)
             r, c, d = kernels.nearest(q, x, ids, n)
             rn = np.arange(len(r)) - np.searchsorted(r, r) + 1
@@ -94,7 +94,7 @@ def first_by_shard(queries: DataFrame, router: DataFrame, shards: int, depth: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x, pid = shared.value
         width = int(pid.max(initial=0)) + 1
-        for b in batches:
+        for b in kernels.pieces(batches):
             q, rows = kernels.usable(b.column(1), dim)
             n, todo = min(len(ids), max(10 * shards, depth)), np.arange(len(q))
             while len(todo) and len(ids):
@@ -124,15 +124,18 @@ def _slices(queries: DataFrame) -> list[Table]:
         return [Table(usable.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k), "qid", "qv", 2 * QUERY_SLICE, dim=dim) for k in range(n)]
 
 
-def scan_topk(vectors: DataFrame, queries: DataFrame, k: int, routes: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:
+def scan_topk(vectors: DataFrame, queries: DataFrame, k: int, routes: DataFrame | None = None, exclude_self: bool = False, router: DataFrame | None = None) -> DataFrame:
     """(qid, vec_id, d), and pid with routes: candidates from one pass over vectors, of each task its k best for each query (and shard).
 
     A task keeps its k best over all its batches and gives them at its end. routes (qid, pid) restricts a
-    query to shards; vectors then need pid, and other shards aren't read. Vectors and queries that can't be
-    worked with (`kernels.usable`) are passed over.
+    query to shards; vectors then need pid, and other shards aren't read. With a router vectors need no pid: the
+    task itself takes that of the nearest centroid, as `assign` does, so vectors go through one Python worker
+    instead of two. Vectors and queries that can't be worked with (`kernels.usable`) are passed over.
     """
     out = None
     spark = queries.sparkSession
+    centers = Table(router, "cid", "cv", MAX_CENTERS, "pid") if router is not None and routes is not None else None
+    near = spark.sparkContext.broadcast((centers.ids, centers.vectors, centers.also.astype(np.int32))) if centers else None
     for table in _slices(queries):
         ask: dict[int, np.ndarray] = {}
         source, columns = vectors, ["vec_id", "embedding"]
@@ -141,18 +144,25 @@ def scan_topk(vectors: DataFrame, queries: DataFrame, k: int, routes: DataFrame
             pairs = routes.select("qid", "pid").join(F.broadcast(mine), "qid", "left_semi").distinct().toArrow()
             at, pid = np.searchsorted(table.ids, pairs.column("qid").to_numpy()), pairs.column("pid").to_numpy()
             ask = {int(p): np.sort(at[pid == p]) for p in np.unique(pid)}
-            source, columns = vectors.where(F.col("pid").isin(sorted(ask))), [*columns, "pid"]
+            if near is None:
+                source, columns = vectors.where(F.col("pid").isin(sorted(ask))), [*columns, "pid"]
+            elif centers.dim != table.dim:  # no vector can have both dimensions
+                source = vectors.where("false")
         shared = spark.sparkContext.broadcast((table.ids, table.vectors, ask))
         dim = table.dim
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
             qids, q, ask = shared.value
             best: dict[int | None, kernels.Best] = {}
-            for b in batches:
+            for b in kernels.pieces(batches):
                 x, rows = kernels.usable(b.column(1), dim)
                 ids = b.column(0).to_numpy(zero_copy_only=False)[rows]
                 pid = b.column(2).to_numpy()[rows] if b.num_columns > 2 else None
-                for p in [None] if pid is None else np.unique(pid).tolist():
+                if near is not None:
+                    cids, cv, shards = near.value
+                    r, c, _ = kernels.nearest(x, cv, cids, 1)
+                    x, ids, pid = x[r], ids[r], shards[c]
+                for p in [None] if pid is None else [p for p in np.unique(pid).tolist() if p in ask]:
                     some = slice(None) if p is None else pid == p
                     if p not in best:
                         asked = slice(None) if p is None else ask[p]
@@ -188,7 +198,7 @@ def epsilon_search(vectors: DataFrame, queries: DataFrame, eps: float) -> DataFr
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
             qids, q = shared.value
-            for b in batches:
+            for b in kernels.pieces(batches):
                 x, rows = kernels.usable(b.column(1), dim)
                 ids = b.column(0).to_numpy(zero_copy_only=False)[rows]
                 r, c, d = kernels.within(q, x, eps)
@@ -214,7 +224,7 @@ def multivector_search(vectors: DataFrame, queries: DataFrame, docs: DataFrame,
         def run(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
             qids, q = shared.value
             best = kernels.Best(q, qids, k)
-            for b in batches:
+            for b in kernels.pieces(batches):
                 x, rows = kernels.usable(b.column(1), dim)
                 best.add_grouped(x, b.column(0).to_numpy()[rows], b.column(2).to_numpy()[rows])
             r, doc, d = best.rows()

@@ -123,14 +123,14 @@ def placement_of(ids: DataFrame, placed: DataFrame) -> DataFrame:
     return placed.join(ids.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "pid")
 
 
-def search(placed: DataFrame, queries: DataFrame, routes: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """(qid, rank, vec_id, d): the k nearest in the shards that routes give. placed: vec_id, embedding, pid and maybe deleted."""
+def search(placed: DataFrame, queries: DataFrame, routes: DataFrame, k: int, exclude_self: bool = False, router: DataFrame | None = None) -> DataFrame:
+    """(qid, rank, vec_id, d): the k nearest in the shards that routes give. placed: vec_id, embedding, pid and maybe deleted; with a router pid isn't needed, vectors are placed as they are searched."""
     live = placed.where(~F.col("deleted")) if "deleted" in placed.columns else placed
-    return nearest.topk(nearest.scan_topk(live, queries, k, routes, exclude_self), k)
+    return nearest.topk(nearest.scan_topk(live, queries, k, routes, exclude_self, router), k)
 
 
-def local_topk(placed: DataFrame, queries: DataFrame, routes: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """(qid, pid, rank, vec_id, d): the k nearest within each shard visited."""
-    found = nearest.scan_topk(placed, queries, k, routes, exclude_self)
+def local_topk(placed: DataFrame, queries: DataFrame, routes: DataFrame, k: int, exclude_self: bool = False, router: DataFrame | None = None) -> DataFrame:
+    """(qid, pid, rank, vec_id, d): the k nearest within each shard visited. placed, router: as for `search`."""
+    found = nearest.scan_topk(placed, queries, k, routes, exclude_self, router)
     rank = F.row_number().over(Window.partitionBy("qid", "pid").orderBy("d", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "pid", "rank", "vec_id", "d")

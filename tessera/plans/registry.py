@@ -387,7 +387,7 @@ def multivector_search(x: Fixtures) -> DataFrame:
 
 @query("SELECT qid, pid, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, round(p.d, 6) AS d FROM (SELECT qid, vec_id, d FROM pairs) p JOIN (SELECT vec_id, pid FROM a) t USING (vec_id) JOIN np USING (qid, pid) WINDOW w AS (PARTITION BY qid, pid ORDER BY p.d, vec_id) QUALIFY row_number() OVER w <= 5")
 def local_topk(x: Fixtures) -> DataFrame:
-    return _rounded(routing.local_topk(x.placed(), x.queries, x.nprobe(), 5, exclude_self=True))
+    return _rounded(routing.local_topk(x.vectors, x.queries, x.nprobe(), 5, exclude_self=True, router=x.router))
 
 
 def _damaged(x: Fixtures) -> DataFrame:
@@ -579,17 +579,17 @@ def _search_sql(routes: str) -> str:
 
 @query(_search_sql("bf"))
 def search_branching_factor(x: Fixtures) -> DataFrame:
-    return _rounded(routing.search(x.placed(), x.queries, routing.branching_factor(x.queries, x.router, 4), K, exclude_self=True))
+    return _rounded(routing.search(x.vectors, x.queries, routing.branching_factor(x.queries, x.router, 4), K, exclude_self=True, router=x.router))
 
 
 @query(_search_sql("np"))
 def search_nprobe(x: Fixtures) -> DataFrame:
-    return _rounded(routing.search(x.placed(), x.queries, x.nprobe(), K, exclude_self=True))
+    return _rounded(routing.search(x.vectors, x.queries, x.nprobe(), K, exclude_self=True, router=x.router))
 
 
 @query(_search_sql("rt"))
 def search_recall_target(x: Fixtures) -> DataFrame:
-    return _rounded(routing.search(x.placed(), x.queries, routing.recall_target(x.queries, x.router, 0.9), K, exclude_self=True))
+    return _rounded(routing.search(x.vectors, x.queries, routing.recall_target(x.queries, x.router, 0.9), K, exclude_self=True, router=x.router))
 
 
 # updates
@@ -701,7 +701,7 @@ def threshold_simulation(x: Fixtures) -> DataFrame:
 
 @query(f"SELECT count(found.vec_id) AS hits, count(DISTINCT gt.qid) AS queries, round(count(found.vec_id) / (count(DISTINCT gt.qid) * {K}), 6) AS recall FROM gt LEFT JOIN found ON found.qid = gt.qid AND found.vec_id = gt.vec_id")
 def recall_at_k(x: Fixtures) -> DataFrame:
-    found = routing.search(x.placed(), x.queries, x.nprobe(), K, exclude_self=True)
+    found = routing.search(x.vectors, x.queries, x.nprobe(), K, exclude_self=True, router=x.router)
     return metrics.recall_at_k(found, x.truth(), K).withColumn("recall", r6("recall"))
 
 

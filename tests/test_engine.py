@@ -1,8 +1,10 @@
 """Invariants of the index: search, updates, maintenance, replay."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tessera import simulate
 from tessera.functions import kernels
 from tessera.index import Index
 from tessera.operators import bounds, clustering, graph, maintenance, metrics, nearest, partitioner, routing, updates
-from tessera.plans.registry import BLOCKS, DIM, RUNBOOK, Fixtures
+from tessera.plans.registry import BLOCKS, DIM, QUERIES, RUNBOOK, Fixtures, _damaged
 from tessera.streaming import replay
 
 K = 10
@@ -42,6 +44,30 @@ def test_kernel_is_brute_force():
     assert len(kernels.nearest(q, v[:3], ids[:3], 7)[0]) == 120 and not len(kernels.nearest(q, v[:0], ids[:0], 7)[0])
 
 
+def _peak_mb(f):
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_kernel_memory_is_bounded():
+    same, q = np.ones((2000, 64)), np.zeros((500, 64))
+    assert _peak_mb(lambda: kernels.nearest(q, same, np.arange(2000), 10)) < 200  # all are equally near, so all are candidates
+    rng = np.random.default_rng(3)
+    elements = pa.array(rng.random(20_000 * 64), mask=rng.random(20_000 * 64) < 1e-4)
+    column = pa.ListArray.from_arrays(np.arange(0, 20_000 * 64 + 1, 64, dtype=np.int32), elements)
+    parts = list(kernels.pieces(iter([pa.RecordBatch.from_arrays([column], ["v"])])))
+    got = [kernels.usable(b.column(0), 64) for b in parts]
+    starts = np.cumsum([0, *[b.num_rows for b in parts]])
+    whole, rows = kernels.usable(column, 64)
+    assert max(b.num_rows for b in parts) <= kernels.ROWS and (np.concatenate([g[0] for g in got]) == whole).all()
+    assert 0 < len(rows) < 20_000 and np.concatenate([g[1] + i for g, i in zip(got, starts, strict=False)]).tolist() == rows.tolist()
+    assert _peak_mb(lambda: [kernels.usable(b.column(0), 64) for b in parts[-1:]]) < 10
+
+
 @pytest.mark.parametrize("mode,param", [("BranchingFactor", 3), ("NProbe", 1), ("NProbe", BLOCKS), ("RecallTarget", 0.9), ("RecallTarget", 0.0), ("RecallTarget", 1.0), ("RecallTargetExtended", 0.9)])
 def test_recall_is_the_theoretical_one(x, placed, truth, mode, param):
     routes = routing.route(x.queries, x.router, mode, param, DIM)
@@ -92,6 +118,28 @@ def test_only_routed_shards_are_read(spark, x, placed, tmp_path):
     assert "PartitionFilters: [pid" in plan.replace("isnotnull(pid#", "pid") or "PartitionFilters: [isnotnull(pid" in plan or "pid" in plan.split("PartitionFilters")[1][:80]
 
 
+@pytest.mark.parametrize("name,passes", [("search_nprobe", 1), ("search_branching_factor", 1), ("search_recall_target", 1), ("local_topk", 1), ("recall_at_k", 2)])
+def test_search_goes_through_one_python_worker(spark, sf, name, passes):
+    # recall_at_k also scans for the true neighbours
+    assert QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == passes
+
+
+def test_search_places_like_the_index(spark, x, placed, monkeypatch):
+    routes = routing.nprobe(x.queries, x.router, 2)
+    found = lambda f, vectors, router=None: sorted(f(vectors, x.queries, routes, K, True, router).collect())
+    damaged = _damaged(x)
+    for f in (routing.search, routing.local_topk):
+        assert found(f, x.vectors, x.router) == found(f, placed)
+        assert found(f, damaged, x.router) == found(f, routing.place(damaged, x.router, ("embedding",)))
+    live = x.vectors.withColumn("deleted", F.col("vec_id") % 3 == 0)
+    assert found(routing.search, live, x.router) == found(routing.search, placed.where("vec_id % 3 <> 0"))
+    short = x.router.withColumn("cv", F.slice("cv", 1, 5))
+    assert not found(routing.search, x.vectors, short) and not found(routing.search, x.vectors, x.router.where("false"))
+    want = found(routing.search, placed)
+    monkeypatch.setattr(nearest, "QUERY_SLICE", 20)
+    assert found(routing.search, x.vectors, x.router) == want
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_partition_is_balanced_and_cuts_little(weighted):
     rng = np.random.default_rng(1)
